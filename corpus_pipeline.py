@@ -1,25 +1,56 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage works on all rows that the one before kept, and all but the last return the columns of
+``documents``: toxicity (rejected documents go), SimHash near-dedup (the smallest id of each class
+stays), benchmark decontamination (contaminated documents go), mixing of sources to target weights
+(documents go or repeat by Poisson counts), and token ids packed into rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placeforge.llm import simhash
-from placeforge.llm.common import materialize, table
+from placeforge.llm import decontam, mixing, packing, simhash, toxicity
+from placeforge.llm.common import discard, materialize, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("SimHash near-dedup", near_dedup)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("source mixing", mixing_stage),
+    ("token packing", packing_stage),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the learned, hashed and packed stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs
