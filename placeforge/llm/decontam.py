@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_id, solid_id, table
+from .common import NULL_ID, plain_id, solid_id, table
 
 WIDTH, COVER = 8, 0.5
 MOST_BROADCAST = 2_000_000
@@ -99,8 +99,8 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = verdicts(docs, benchmark).select(F.col("id").alias("bad_id")).distinct()
-    return docs.join(bad, solid_id() == F.col("bad_id"), "left_anti")
+    bad = verdicts(docs, benchmark).select(F.col("id").alias("contaminated_id")).distinct()
+    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == bad["contaminated_id"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

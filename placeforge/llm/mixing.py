@@ -73,7 +73,11 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, budge
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, seed: int = SEED, temper: float = TEMPER) -> DataFrame:
-    """The mixture: the columns of ``docs``, then mix_rate, mix_count, mix_copy (1 to the count) and mix_order (the shuffle's key)."""
+    """The mixture: the columns of ``docs``, then mix_rate, mix_count, mix_copy (1 to the count) and mix_order (the shuffle's key).
+
+    Columns of ``docs`` that have one of these names are replaced.
+    """
+    docs = docs.drop("mix_source", "mix_rate", "mix_count", "mix_copy", "mix_order")
     found = materialize(rates(docs, weights, budget, temper).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")))
     if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         found = F.broadcast(found)

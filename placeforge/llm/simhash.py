@@ -199,8 +199,9 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hamming_links(nodes: DataFrame, most: int = DIRECT) -> DataFrame:
     """Links (a, b) between nodes (rep, fp) of distinct fingerprints: a spanning set of all pairs within RADIUS."""
     dealt = nodes.select("rep", "fp").mapInArrow(_tables, "t int, key long, rep long, fp long")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
-    shared = materialize(dealt.join(sizes, ["t", "key"]).select("t", "key", "rep", "fp", "c"))
+    # the flipped key keeps the join's own shuffle apart from the count's, so that AQE can split a large bucket
+    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("c")).filter(F.col("c") > 1).select("t", F.bitwise_not("key").alias("flip"), "c")
+    shared = materialize(dealt.withColumn("flip", F.bitwise_not("key")).join(sizes, ["t", "flip"]).select("t", "key", "rep", "fp", "c"))
     cold = shared.filter(F.col("c") <= most).drop("c")
     hot = shared.filter(F.col("c") > most).drop("c").mapInArrow(_again, "t int, key long, rep long, fp long")
     rows = cold.unionByName(hot).repartition("t", "key").sortWithinPartitions("t", "key", "rep")
@@ -305,6 +306,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     made = materialize(base.mapInArrow(_sketches(size), "doc_id long, fp long, sketch binary, bands array<long>"))
     distinct = made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     found = classes(made.select("doc_id", "fp"), overlap_links(materialize(distinct), similarity - margin))
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct())
     discard(made)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["near_duplicate_id"], "left_anti")
