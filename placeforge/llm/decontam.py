@@ -30,7 +30,7 @@ def marked(text: Column) -> Column:
     """Words of the text; a slot has U+0001, its type (n, u, p) and its value."""
     t = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", " \u0001n$0 ")
     t = F.regexp_replace(t, rf"(\u0001n\S+) +((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 \u0001u$2")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu})", "\u0001p$1")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll})", "\u0001p$1")
     words = F.split(F.lower(t), r"(?:(?<!\d)[.,:/]|[.,:/](?!\d)|[^\p{L}\p{N}\u0001.,:/])+")
     return F.filter(words, lambda w: w != "")
 
