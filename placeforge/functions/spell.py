@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import text as T
 
@@ -33,7 +34,7 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return min(last[-1], most + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOWELS = "аеиоуыэюя"
 
@@ -81,7 +82,7 @@ def stem(word: str) -> str:
     return head + rv
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
 

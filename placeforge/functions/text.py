@@ -17,7 +17,7 @@ CYRILLIC = r"[Ѐ-ԯ]"
 
 def let(c: Column, f) -> Column:
     """f of ``c``, which is computed once: nested rules would otherwise repeat it at each mention."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
 def trim(c: Column) -> Column:

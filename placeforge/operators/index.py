@@ -15,7 +15,7 @@ from ..functions import text
 
 # The compact file's head.
 MAGIC, VERSION = b"OSMG", 1
-HEAD = struct.Struct("<4sHIIIQ46sIIII")
+HEAD = "<4sHIIIQ46sIIII"
 REGION_BYTES = 45
 
 
@@ -90,7 +90,7 @@ def write_compact(objects: DataFrame, path: str, region: str, timestamp: int) ->
     counts = {r.type: r["count"] for r in recorded.groupBy("type").count().collect()}
     n_addr, n_named = counts.get(0, 0), counts.get(1, 0)
     pool_bytes = pool.agg(F.sum(F.octet_length("value") + 2).alias("b")).first()["b"]
-    at_pool = HEAD.size
+    at_pool = struct.calcsize(HEAD)
     at_named = at_pool + 4 + pool_bytes
     at_addr = at_named + 4 + 7 * n_named
     at_records = at_addr + 4 + 10 * n_addr
@@ -101,7 +101,7 @@ def write_compact(objects: DataFrame, path: str, region: str, timestamp: int) ->
         return rows.toLocalIterator()
 
     with open(path, "wb") as f:
-        f.write(HEAD.pack(MAGIC, VERSION, n_addr + n_named, n_addr, n_named, timestamp, name, at_pool, at_named, at_addr, at_records))
+        f.write(struct.pack(HEAD, MAGIC, VERSION, n_addr + n_named, n_addr, n_named, timestamp, name, at_pool, at_named, at_addr, at_records))
         f.write(count(n_pool))
         for r in each(pool.orderBy("idx")):
             raw = r.value.encode()
@@ -122,7 +122,7 @@ def write_compact(objects: DataFrame, path: str, region: str, timestamp: int) ->
 
 def read_compact(raw: bytes) -> dict:
     """Head, pool, indexes and records of a compact file."""
-    magic, version, n, n_addr, n_named, timestamp, region, at_pool, at_named, at_addr, at_records = HEAD.unpack_from(raw)
+    magic, version, n, n_addr, n_named, timestamp, region, at_pool, at_named, at_addr, at_records = struct.unpack_from(HEAD, raw)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a compact file")
     at, pool = at_pool + 4, []
