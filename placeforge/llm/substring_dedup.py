@@ -229,3 +229,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     found = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS k FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS t(i)),
+first AS (SELECT k, min((doc_id, i)) AS f FROM win GROUP BY k),
+gone AS (SELECT doc_id, list(DISTINCT i + j) AS spots FROM win JOIN first USING (k), unnest(range(0, {WINDOW})) AS t(j) WHERE (doc_id, i) > f GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n, CASE WHEN spots IS NULL THEN w ELSE list_filter(w, lambda x, p: NOT list_contains(spots, p)) END AS k FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""

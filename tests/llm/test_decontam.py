@@ -46,3 +46,53 @@ def test_hard_rows(spark):
 def test_main_path_is_native(spark):
     plan = D.judge(documents(spark, [ITEM]), items(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute(texts, items, width=D.WIDTH, cover=D.COVER):
+    """The same rules in plain Python: {document: {item: (coverage, reparameterised)}}."""
+    import regex
+
+    def tokens(text):
+        t = regex.sub(r"[0-9]+(?:[.,:/][0-9]+)*", " \x01n\\g<0> ", text or "")
+        t = regex.sub(rf"(\x01n\S+) +((?i:{D.UNITS}))(?![\p{{L}}\p{{N}}])", "\\1 \x01u\\2", t)
+        t = regex.sub(r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll})", "\x01p\\1", t)
+        return [w for w in regex.split(r"(?:(?<![0-9])[.,:/]|[.,:/](?![0-9])|[^\p{L}\p{N}\x01.,:/])+", t.lower()) if w]
+
+    shape = lambda w: w[:2] if w[0] == "\x01" else w
+    out = {}
+    for d, text in enumerate(texts):
+        a = tokens(text)
+        for item, question in items:
+            b = tokens(question)
+            if not b:
+                continue
+            n = min(width, len(b))
+            lines = {}
+            for i in range(len(a) - n + 1):
+                for j in range(len(b) - n + 1):
+                    if [*map(shape, a[i : i + n])] == [*map(shape, b[j : j + n])]:
+                        at, pairs = lines.setdefault(i - j, (set(), set()))
+                        at.add(j)
+                        pairs.update((y, x) for x, y in zip(a[i : i + n], b[j : j + n]) if x[0] == "\x01")
+            good = [(at, p) for at, p in lines.values() if len({x for x, _ in p}) == len(p) == len({y for _, y in p})]
+            share = len(set().union(*(at for at, _ in good))) / (len(b) - n + 1) if good else 0
+            if share >= cover:
+                out.setdefault(d, {})[item] = (share, any(x != y for _, p in good for x, y in p))
+    return out
+
+
+def test_against_brute_force(spark):
+    import random
+
+    r, texts = random.Random(8), []
+    for k in range(60):
+        q = r.choice([ITEM, words(70, 40), words(71, 30), "What is two times seven"]).split()
+        q = [str(r.randint(1, 999)) if w.isdigit() and r.random() < 0.5 else w for w in q]
+        a, b = sorted((r.randrange(len(q) + 1), r.randrange(len(q) + 1)))
+        texts.append(" ".join([words(k, 20), *q[a:b], words(100 + k, 20), *(q if k % 7 == 0 else q[: len(q) // 2])]))
+    want = brute(texts, ITEMS)
+    got = {k: g for k, g in judged(spark, texts).items() if g.contaminated}
+    assert set(got) == set(want) and want
+    for d, found in want.items():
+        assert (got[d].n_items, got[d].item_id, got[d].reparameterised) == (len(found), min(found), any(x[1] for x in found.values()))
+        assert abs(got[d].coverage - max(x[0] for x in found.values())) < 1e-6
