@@ -284,7 +284,9 @@ def overlap_links(sketches: DataFrame, least: float) -> DataFrame:
     rows = sketches.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("band"))
     order = [F.col("doc_id"), F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
     heads = rows.groupBy("band").agg(F.count("*").alias("c"), *(F.min_by("doc_id", o).alias(f"r{k}") for k, o in enumerate(order))).filter("c > 1")
-    near = rows.join(heads, "band").select("doc_id", F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("rep")).filter("doc_id <> rep")
+    # the flipped key keeps the join's own shuffle apart from the count's, so that AQE can split a large bucket
+    heads = heads.withColumn("flip", F.bitwise_not("band")).drop("band")
+    near = rows.withColumn("flip", F.bitwise_not("band")).join(heads, "flip").select("doc_id", F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("rep")).filter("doc_id <> rep")
     near = near.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
     own = sketches.select("doc_id", "sketch")
     pairs = near.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
