@@ -4,7 +4,9 @@ Folding: lower case; Greek and Cyrillic look-alikes become Latin letters; digits
 stand for letters do so beside letters.  Lexicon entries are stems, matched at the start of a word.
 They are learned from labelled texts: of all word beginnings, those whose log-likelihood ratio for
 label 1 is beyond LEAST_G2 at a precision of LEAST_PRECISION, the longest of equal support, without
-those that have an entry as their beginning.  The weight is the log odds.  A two-word phrase around
+those that have an entry as their beginning.  What near copies of one text share stands behind the
+same word each time, so an entry needs an effective number (inverse Simpson index) of LEAST_CONTEXTS
+words before it.  The weight is the log odds.  A two-word phrase around
 an entry that only clean texts have is an exception and covers the hit.  The score is a logistic
 function of the summed weights, alone and per hundred words.
 
@@ -32,6 +34,7 @@ from .common import crc_mod, slices, table
 #: Labelled rows that the classifier is fitted on, about.
 MOST_ROWS = 20_000
 LEAST_G2, LEAST_PRECISION, STEM = 20.0, 0.95, (3, 12)
+LEAST_CONTEXTS = 2.0
 #: Entries at most.
 MOST_STEMS = 20_000
 
@@ -70,8 +73,8 @@ class Lexicon:
         return made
 
 
-def hits(folded: str, automaton) -> Iterator[tuple[int, int, float]]:
-    """(start, end of word, weight) of entries at the starts of words."""
+def hits(folded: str, automaton) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end of entry, end of word, weight) of entries at the starts of words."""
     if not len(automaton):
         return
     for end, (n, w) in automaton.iter(folded):
@@ -81,7 +84,7 @@ def hits(folded: str, automaton) -> Iterator[tuple[int, int, float]]:
         stop = end + 1
         while stop < len(folded) and folded[stop].isalpha():
             stop += 1
-        yield start, stop, w
+        yield start, end + 1, stop, w
 
 
 def phrases(folded: str, start: int, stop: int) -> list[str]:
@@ -96,7 +99,7 @@ def weigh(text: str | None, automaton, exceptions: frozenset[str]) -> tuple[floa
     if not text:
         return 0.0, 0
     folded, total = fold(text), 0.0
-    for start, stop, w in hits(folded, automaton):
+    for start, _, stop, w in hits(folded, automaton):
         if not exceptions or exceptions.isdisjoint(phrases(folded, start, stop)):
             total += w
     return total, len(text.split())
@@ -133,13 +136,28 @@ def _count_phrases(lexicon: Lexicon):
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded = fold(text)
-                for p in {p for start, stop, _ in hits(folded, automaton) for p in phrases(folded, start, stop)}:
+                for p in {p for start, _, stop, _ in hits(folded, automaton) for p in phrases(folded, start, stop)}:
                     counts.setdefault(p, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))], ["phrase", "pos", "neg"])
 
     return run
 
 
+def _count_contexts(lexicon: Lexicon):
+    """How many texts of label 1 have an entry behind a word (empty at the beginning of a text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in slices(batches, "text"):
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                folded = fold(text)
+                counts.update({(folded[a:b], (WORD.findall(folded, max(0, a - 40), a) or [""])[-1]) for a, b, _, _ in hits(folded, automaton)})
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "context", "n"])
+
+    return run
+
+
 def _weigh_all(lexicon: Lexicon, columns: list[str]):
     """The columns after the text, then its weight and words, and the score."""
 
@@ -207,6 +225,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Lexicon:
         found = found.filter(f"pos >= 3 AND pos >= 0.5 * (pos + neg)").orderBy(F.desc("pos"), "stem").limit(10 * MOST_STEMS)
         stems = choose({r.stem: (r.pos, r.neg) for r in found.collect()}, pos, neg)
         lexicon = Lexicon(dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:MOST_STEMS]))
+        behind = sample.filter("toxic = 1").select("text").mapInArrow(_count_contexts(lexicon), "stem string, context string, n long").groupBy("stem", "context").agg(F.sum("n").alias("n"))
+        spread = behind.groupBy("stem").agg((F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("contexts"))
+        wide = {r.stem for r in spread.filter(F.col("contexts") >= LEAST_CONTEXTS).collect()}
+        lexicon = Lexicon({k: w for k, w in lexicon.stems.items() if k in wide})
         clean = sample.mapInArrow(_count_phrases(lexicon), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("neg >= 3 AND pos = 0")
         lexicon.exceptions = frozenset(r.phrase for r in clean.orderBy(F.desc("neg"), "phrase").limit(MOST_STEMS).collect())
         rows = sample.mapInArrow(_weigh_all(lexicon, ["toxic"]), "toxic int, weight double, words double, score double").collect()

@@ -49,3 +49,24 @@ def test_query_digest(spark, tmp_path):
     rows = {r.doc_id: r for r in S.query(spark, str(tmp_path)).collect()}
     assert rows[0].kept_sha256 == hashlib.sha256(words(1, 30).encode()).hexdigest() and rows[0].n_removed == 0
     assert rows[1].n_removed == 30 and rows[1].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_hashes_depend_on_the_word_alone(monkeypatch):
+    import numpy as np
+
+    texts = [b"a bb  ccc\tbb a", b"xyz ccc a", b" bb"]
+    powers, known = S.Powers(), {}
+    for block in (S.BLOCK, 4):
+        monkeypatch.setattr(S, "BLOCK", block)
+        for t in texts:
+            for w, h in zip(t.split(), S.word_hashes(S.Words(S.joined(t)), powers).tolist(), strict=True):
+                assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) == 4
+    lines = [words(1, 3000).encode(), b"", words(2, 19).encode(), words(3, 20).encode(), words(4, 90).encode()]
+    h, line, first, n = S.super_kmers(lines, powers)
+    alone = [S.super_kmers([x], powers) for x in lines]
+    for k in range(5):
+        assert [c[line == k].tolist() for c in (h, first, n)] == [alone[k][c].tolist() for c in (0, 2, 3)]
+        assert n[line == k].sum() == max(0, len(lines[k].split()) - S.WINDOW + 1)
+        assert np.all(first[line == k][1:] == np.cumsum(n[line == k])[:-1])
+    assert 5 < n[line == 0].mean() < 12
