@@ -37,68 +37,134 @@ WINDOW = 20
 MINI = 5
 #: Occurrences of a minimiser from which its bucket is split.
 HOT = 1000
-#: Distinct words that a worker remembers the hashes of.
-CACHE = 400_000
-
-
-class WordHashes(dict):
-    """Hash of a word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def super_kmers(words: list[bytes], hashes: WordHashes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, windows) of each super-k-mer of a document."""
+#: Bytes of text whose words are hashed at once.
+BLOCK = 1 << 20
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def joined(text: bytes | None) -> bytes:
+    """The words of a text, joined by one space."""
+    return b" ".join(text.split()) if text else b""
+
+
+class Words:
+    """Words joined by one space, with where each begins and ends."""
+
+    def __init__(self, line: bytes):
+        self.line = line
+        self.bytes = np.frombuffer(line, np.uint8)
+        gaps = np.flatnonzero(self.bytes == 32)
+        self.starts = np.concatenate(([0], gaps + 1)) if line else gaps
+        self.ends = np.append(gaps, len(line)) if line else gaps
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def without(self, gone: np.ndarray) -> bytes:
+        """The words that aren't gone, joined by one space."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
+        return b" ".join([self.line[a:b] for a, b in zip(self.starts[edge[::2]].tolist(), self.ends[edge[1::2] - 1].tolist(), strict=True)])
+
+
+class Powers:
+    """Powers of PRIME and of its inverse modulo 2^64, as many as were needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n >= len(self.up):
+            size = max(n + 1, 2 * len(self.up))
+            factors = [np.full(size, x, np.uint64) for x in (int(PRIME), pow(int(PRIME), -1, 2**64))]
+            for f in factors:
+                f[0] = 1
+            self.up, self.down = (np.cumprod(f) for f in factors)
+        return self.up, self.down
+
+
+def word_hashes(words: Words, powers: Powers) -> np.ndarray:
+    """A hash of each word from running sums of its bytes: no Python object for a word."""
+    out, first = [], 0
+    while first < len(words):
+        base = words.starts[first]
+        last = max(first + 1, int(np.searchsorted(words.ends, base + BLOCK, "right")))
+        starts, ends = words.starts[first:last] - base, words.ends[first:last] - base
+        up, down = powers.get(int(ends[-1]))
+        sums = np.zeros(ends[-1] + 1, np.uint64)
+        np.cumsum((words.bytes[base : base + ends[-1]].astype(np.uint64) + np.uint64(1)) * up[: ends[-1]], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def super_kmers(lines: list[bytes], powers: Powers, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser hash, number of the line, first window, windows) of each super-k-mer of lines of joined words."""
+    sizes = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
+    words = Words(b" ".join([x for x in lines if x]))
     n = len(words) - window + 1
-    none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        return (np.zeros(0, np.int64),) * 4
+    h = word_hashes(words, powers)
     x = h[: len(h) - MINI + 1].copy()
     for j in range(1, MINI):
-        x *= np.uint64(0x9E3779B97F4A7C15)
+        x *= PRIME
         x += h[j : len(h) - MINI + 1 + j]
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     low = np.uint64(0xFFFFFF)
-    at = np.arange(len(x), dtype=np.uint64)
-    key = (x & ~low) | (at & low)
+    key = (x & ~low) | (np.arange(len(x), dtype=np.uint64) & low)
     left, width = window - MINI + 1, 1
     while width < left:
         step = min(width, left - width)
         key = np.minimum(key[:-step], key[step:])
         width += step
-    i = np.arange(n, dtype=np.uint64)
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    place = i[first] + (((key[first] & low) - i[first]) & low)
-    return x[place.astype(np.int64)].view(np.int64), first, np.diff(np.append(first, n))
+    line = np.repeat(np.arange(len(lines)), sizes)
+    whole = line[:n] == line[window - 1 :]  # windows within one line
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:n] != line[: n - 1]) | (whole[1:] != whole[:-1])))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))[whole[first]]
+    first = first[whole[first]]
+    i = first.astype(np.uint64)
+    place = i + (((key[first] & low) - i) & low)
+    begin = np.cumsum(sizes) - sizes
+    return x[place.astype(np.int64)].view(np.int64), line[first], first - begin[line[first]], size
+
+
+def marks_of(column: pa.ListArray) -> Iterator[dict[str, np.ndarray] | None]:
+    """The fields of each row's list of structs as arrays; None for none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    inside = column.values
+    fields = {inside.type.field(k).name: inside.field(k).to_numpy(zero_copy_only=False) for k in range(inside.type.num_fields)}
+    offsets = column.offsets.to_numpy()
+    for known, a, b in zip(column.is_valid().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield {name: values[a:b] for name, values in fields.items()} if known and b > a else None
 
 
 def _light(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches, "text"):
-        out = [[], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            h, first, n = super_kmers((text or b"").split(), hashes)
-            for to, x in zip(out, (h, np.full(len(h), doc, np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
-                to.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "id", "start", "n"])
+    powers = Powers()
+    for batch in slices(batches, "text", BLOCK):
+        ids = batch.column(0).to_numpy()
+        h, line, first, n = super_kmers([joined(t) for t in as_bytes(batch.column(1))], powers)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[line]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "start", "n"])
 
 
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed strings of the marked super-k-mers; equal ones of a batch are merged to the first place."""
     for batch in slices(batches, "text"):
         best: dict[tuple[int, bool, bytes], tuple[int, int]] = {}
-        for doc, text, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = (text or b"").split()
-            for m in marks:
-                start, n = m["start"], m["n"]
-                key = (m["h"], m["hot"], b" ".join(words[start : start + n + WINDOW - 1]))
+        for doc, text, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), marks_of(batch.column(2)), strict=True):
+            if marks is None:
+                continue
+            words = Words(joined(text))
+            starts, ends = words.starts, words.ends
+            to = marks["start"] + marks["n"] + (WINDOW - 2)
+            fits = to < len(words)  # a row that repeats an id with another text may have marks beyond this one
+            for h, hot, start, a, b in zip(*(x[fits].tolist() for x in (marks["h"], marks["hot"], marks["start"])), starts[marks["start"][fits]].tolist(), ends[to[fits]].tolist(), strict=True):
+                key = (h, hot, words.line[a:b])
                 place = (doc, start)
                 if best.get(key, place) >= place:
                     best[key] = place
@@ -178,31 +244,36 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def duplicate_words(n_words: int, marks: list[dict] | None, window: int = WINDOW) -> np.ndarray | None:
+def duplicate_words(n_words: int, marks: dict[str, np.ndarray] | None, window: int = WINDOW) -> np.ndarray | None:
     """Mask of words covered by a repeated window that isn't the first of its kind; None if there is none."""
-    if not marks or n_words < window:
+    n = n_words - window + 1
+    if marks is None or n <= 0:
+        return None
+    counts = []
+    for first in (False, True):
+        own = marks["first"] == first
+        edge = np.zeros(n + 1, np.int32)
+        a = np.minimum(marks["start"][own], n)
+        np.add.at(edge, a, 1)
+        np.add.at(edge, np.minimum(a + marks["n"][own], n), -1)
+        counts.append(np.cumsum(edge[:-1]) > 0)
+    dup = np.flatnonzero(counts[0] & ~counts[1])
+    if not len(dup):
         return None
-    dup = np.zeros(n_words - window + 1, bool)
-    for m in marks:
-        if not m["first"]:
-            dup[m["start"] : m["start"] + m["n"]] = True
-    for m in marks:
-        if m["first"]:
-            dup[m["start"] : m["start"] + m["n"]] = False
     edge = np.zeros(n_words + 1, np.int32)
-    np.add.at(edge, np.flatnonzero(dup), 1)
-    np.add.at(edge, np.flatnonzero(dup) + window, -1)
+    edge[dup] += 1
+    edge[dup + window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         out = [[], [], [], []]
-        for doc, text, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = (text or b"").split()
-            gone = duplicate_words(len(words), marks)
-            kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            for to, x in zip(out, (doc, len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+        for doc, text, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), marks_of(batch.column(2)), strict=True):
+            line = joined(text)
+            n = line.count(b" ") + 1 if line else 0
+            gone = duplicate_words(n, marks)
+            for to, x in zip(out, (doc, n, 0 if gone is None else int(gone.sum()), line if gone is None else Words(line).without(gone)), strict=True):
                 to.append(x)
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
@@ -211,8 +282,9 @@ def remove_repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each document (joined by one space)."""
     base = docs.select(solid_id().alias("id"), "text")
     light = base.mapInArrow(_light, "h long, id long, start int, n int")
-    again = light.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    marks = materialize(light.join(again, "h").select("id", "start", "n", "h", (F.col("c") > hot).alias("hot")))
+    # the flipped hash keeps the join's own shuffle apart from the count's, so that AQE can split a frequent one
+    again = light.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select(F.bitwise_not("h").alias("flip"), "c")
+    marks = materialize(light.withColumn("flip", F.bitwise_not("h")).join(again, "flip").select("id", "start", "n", "h", (F.col("c") > hot).alias("hot")))
     grouped = marks.groupBy("id").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("marks"))
     packed = base.join(grouped, "id").select("id", "text", "marks").mapInArrow(_pack, "bucket long, hot boolean, packed binary, id long, start int")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "hot", "packed")
