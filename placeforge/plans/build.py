@@ -25,9 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Write into the shared folder and read back: cuts lineage."""
+    """Write into the shared folder, until the application ends, and read back: cuts lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

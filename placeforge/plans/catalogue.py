@@ -575,6 +575,69 @@ def days_to_date(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("o_orderkey") % 40000).cast("int")), "yyyy-MM-dd").alias("day"))
 
 
+STEMS_OF_PATHS = [("central-fed-district-latest.osm.pbf", "central-fed-district"), ("/data/russia-latest.osm.pbf", "russia"), ("moscow.osm.pbf", "moscow")]
+PROTECTED = [("проспект", True), ("исаково", True), ("диск", True), ("оренбург", True), ("дом", False)]
+STRICT = [("ул Ленина", "Улица Ленина"), ("Тверской бульвар", "Тверский бульвар"), ("п. Озерки", "Переулок Озерки"), ("Ростов-на-Дону", "Ростов-на-дону"), ("Калининградской зоопарк", "Калининградский зоопарк")]
+CODES = [("amenity", 1), ("tourism", 2), ("shop", 3), ("historic", 4), ("leisure", 5), ("office", 6), ("boundary", 7), ("admin_level:4", 7), ("highway", 8), ("railway", 9), ("aeroway", 10), ("waterway", 11), ("natural", 12), ("other", 0)]
+
+
+@query(literal(STEMS_OF_PATHS, "input, output"))
+def output_stem(spark, sf):
+    return named(spark, STEMS_OF_PATHS, text.output_stem)
+
+
+@query(literal(PROTECTED, "input, output"))
+def protected_words(spark, sf):
+    return named(spark, PROTECTED, text.is_protected_word, "input string, output boolean")
+
+
+@query(literal(STRICT, "input, output"))
+def normalize_name_strict(spark, sf):
+    return named(spark, STRICT, lambda c: text.normalize_name(c, strict=True))
+
+
+@query(literal(CODES, "input, output"))
+def category_codes(spark, sf):
+    return named(spark, CODES, text.category_code, "input string, output int")
+
+
+@query(f"WITH {POINTS}, rec AS (SELECT *, row_number() OVER (ORDER BY lat, lon, seq) AS i FROM points) SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM rec WHERE name = (SELECT name FROM points WHERE seq = 10000001) ORDER BY i LIMIT 1")
+def poi_coordinates(spark, sf):
+    """The first record of an exact name."""
+    rows = points(spark, sf)
+    name = rows.filter("seq = 10000001").first().name
+    found = index.find_name(index.named_index(index.records(rows)), name, prefix=False)
+    return found.orderBy("record_idx").limit(1).select("name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(f"WITH {PLACES} SELECT seq, street, housenumber FROM places WHERE lower(city) = 'nation_3' ORDER BY seq LIMIT 5")
+def inspect_city(spark, sf):
+    return stats.inspect_city(places(spark, sf), "Nation_3")[1].select("seq", "street", "housenumber")
+
+
+@query(f"WITH {PLACES} SELECT seq, concat_ws(', ', country, city, street, housenumber) AS line FROM places")
+def address_lines(spark, sf):
+    rows = places(spark, sf)
+    return rows.select("seq", search.address_line(rows).alias("line"))
+
+
+TRIGRAMS = "list_distinct(list_transform(range(1, len({c}) + 2), lambda i: substr('  ' || lower({c}) || ' ', i, 3)))"
+
+
+@query(f"""WITH name AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, {TRIGRAMS.format(c="name")} AS a, {TRIGRAMS.format(c="'red wodget'")} AS b FROM name),
+ s AS (SELECT name, len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) AS s FROM g) SELECT name, round(s, 6) AS similarity FROM s WHERE s >= 0.3 ORDER BY s DESC, name LIMIT 20""")
+def fuzzy_search(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", F.col("name"))
+    return search.fuzzy(rows, "name", "red wodget").select("name", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def union_counts(spark, sf):
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    a = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("key"))
+    return a.unionByName(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
