@@ -30,16 +30,19 @@ def marked(text: Column) -> Column:
     """Words of the text; a slot has U+0001, its type (n, u, p) and its value."""
     t = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", " \u0001n$0 ")
     t = F.regexp_replace(t, rf"(\u0001n\S+) +((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 \u0001u$2")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll})", "\u0001p$1")
-    words = F.split(F.lower(t), r"(?:(?<!\d)[.,:/]|[.,:/](?!\d)|[^\p{L}\p{N}\u0001.,:/])+")
+    # each pattern begins with what is rare or decides at once
+    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", " \u0001p")
+    words = F.split(F.lower(t), r"(?:[^\p{L}\p{N}\u0001.,:/]|[.,:/](?!\d)|(?<!\d)[.,:/])+")
     return F.filter(words, lambda w: w != "")
 
 
 def template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w))
+    """Hashes of the words, slots by their type alone."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)))
 
 
 def window_hashes(tokens: Column, width: Column) -> Column:
+    """Hashes of the hashes of ``width`` tokens in a row."""
     last = F.size(tokens) - width + 1
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
