@@ -29,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    It goes when the application ends, or by :func:`discard` before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/placeforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._placeforge_path = path
     return out
