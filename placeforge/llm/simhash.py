@@ -38,8 +38,10 @@ SEED = 42
 SHINGLE = 3
 #: Fingerprints in a bucket that are compared with each other directly.
 DIRECT = 2000
-#: Minhash values of a sketch; ROWS of them make a band key in each of BANDS bands.
-SKETCH, ROWS, BANDS = 256, 6, 24
+#: Minhash values that make a band key, and bands.
+ROWS, BANDS = 6, 24
+#: Sets of a group that are compared without a prefix filter, and shingles of a group that one task holds.
+GROUP, BLOCK = 200, 2_000_000
 
 
 def masks() -> list[int]:
@@ -234,80 +236,189 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _sketches(size: int):
-    """(doc_id, fp, sketch of SKETCH bytes, band keys) of each row with a word."""
+def _digest(hashes: np.ndarray) -> int:
+    """Names a shingle set; -2**63 <= digest < 2**63."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63
+
+
+def _bands(size: int):
+    """(doc_id, fp, key, n, band keys) of each row; key names its set of n distinct shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
-        mul, add = (rng.integers(0, 2**32, SKETCH, dtype=np.uint32) for _ in range(2))
+        mul, add = (rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) for _ in range(2))
         mul |= np.uint32(1)
         for batch in slices(batches, "text"):
-            fps, sketches, bands = [], [], []
+            fps, keys, sizes, bands = [], [], [], []
             for t in as_bytes(batch.column(1)):
                 h = shingle_hashes((t or b"").lower().split(), size)
                 fps.append(fingerprint(h))
-                low = np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32))
-                least = np.full(SKETCH, 2**32 - 1, np.uint32)
+                own = np.unique(h)
+                keys.append(_digest(own))
+                sizes.append(len(own))
+                low = (own ^ (own >> np.uint64(32))).astype(np.uint32)
+                least = np.full(ROWS * BANDS, 2**32 - 1, np.uint32)
                 for i in range(0, len(low), 1024):
                     x = low[i : i + 1024, None] * mul + add
                     x ^= x >> np.uint32(15)
                     x *= np.uint32(0x2C1B3C6D)
                     x ^= x >> np.uint32(12)
                     np.minimum(least, x.min(0), out=least)
-                sketches.append((least & np.uint32(255)).astype(np.uint8).tobytes())
                 raw = least.tobytes()
                 bands.append([xxhash.xxh64_intdigest(raw[4 * ROWS * b : 4 * ROWS * (b + 1)], b) - 2**63 for b in range(BANDS)] if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "key", "n", "bands"])
 
     return run
 
 
-def _alike(least: float):
+def _sets(size: int):
+    """(key, shingle set as sorted 64-bit hashes) of each row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes((t or b"").lower().split(), size)) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"])
+
+    return run
+
+
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, token) for each shingle of the sets."""
+    for batch in slices(batches, "set"):
+        sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets))], ["key", "n", "token"])
+
+
+def overlapping(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets`` with an exact Jaccard index of ``least`` or more.
+
+    With two values in ``side`` only pairs across are compared.  Pairs that are linked already, or
+    whose sizes rule out the overlap, are passed over; every other pair is counted.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    side = side[order]
+    cross = side[0] != side[-1] or len(np.unique(side)) > 1
+    at = np.concatenate(([0], np.cumsum(size)))
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    marks, label, out = np.zeros(len(names), np.int32), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        end = int(np.searchsorted(size * least, size[i] + 1e-9, "right"))
+        todo = label[i + 1 : end] != label[i]
+        if cross:
+            todo &= side[i + 1 : end] != side[i]
+        if not todo.any():
+            continue
+        own = flat[at[i] : at[i + 1]]
+        marks[own] = 1
+        if 4 * todo.sum() < len(todo):
+            both = np.zeros(len(todo), np.int64)
+            for j in np.flatnonzero(todo):
+                both[j] = marks[flat[at[i + 1 + j] : at[i + 2 + j]]].sum()
+        else:
+            both = np.add.reduceat(marks[flat[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1])
+        marks[own] = 0
+        for j in (np.flatnonzero(todo & (both >= least * (size[i] + size[i + 1 : end] - both) - 1e-9)) + i + 1).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _confirm(least: float):
+    """Links (a, b) of groups (g, lo, hi), of which the rows (g, lo, hi, side, rep, set) come together."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        reps = [r[0] for r in rows]
+        return [(reps[i], reps[j]) for i, j in overlapping([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), least)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-            equal = (x == y).mean(1)
-            keep = pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+            found = []
+            for g, lo, hi, side, rep, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, lo, hi) != last:
+                    found += links(held)
+                    held, last = [], (g, lo, hi)
+                held.append((rep, side, own))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = links(held)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def overlap_links(sketches: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between rows (doc_id, sketch, bands) of distinct texts whose shingle overlap is estimated at ``least`` or more.
+def groups(rows: DataFrame) -> DataFrame:
+    """(g, key, c, w) of the groups of ``rows`` (g, key, n) with c > 1 keys and w shingles; of groups with the same keys one is left."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum("n").alias("w")).filter("c > 1")
+    one = sizes.groupBy("c", "x", "y").agg(F.min("g").alias("g"), F.max("w").alias("w"))
+    # the flipped key keeps the join's own shuffle apart from the count's, so that AQE can split a large group
+    one = one.select(F.bitwise_not("g").alias("flip"), "c", "w")
+    return rows.withColumn("flip", F.bitwise_not("g")).join(one, "flip").select("g", "key", "c", "w")
+
 
-    Rows that share a band key are candidates; each is compared with three of its bucket (smallest
-    id and the smallest under two hashes), so a bucket gives three candidates a row at most.
+def prefix_groups(sets: DataFrame, least: float) -> DataFrame:
+    """(g, key, n): the first shingles of each set (key, set), rare ones first, as many as an overlap of ``least`` can't do without.
+
+    Two sets with that overlap share a shingle of both prefixes.  Shingles of one set alone are the
+    rarest; they count in the prefix but make no group.
     """
-    rows = sketches.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("band"))
-    order = [F.col("doc_id"), F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
-    heads = rows.groupBy("band").agg(F.count("*").alias("c"), *(F.min_by("doc_id", o).alias(f"r{k}") for k, o in enumerate(order))).filter("c > 1")
-    # the flipped key keeps the join's own shuffle apart from the count's, so that AQE can split a large bucket
-    heads = heads.withColumn("flip", F.bitwise_not("band")).drop("band")
-    near = rows.withColumn("flip", F.bitwise_not("band")).join(heads, "flip").select("doc_id", F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("rep")).filter("doc_id <> rep")
-    near = near.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
-    own = sketches.select("doc_id", "sketch")
-    pairs = near.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return pairs.mapInArrow(_alike(least), "a long, b long")
+    tokens = sets.select("key", "set").mapInArrow(_tokens, "key long, n int, token long")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select(F.bitwise_not("token").alias("flip"), "c")
+    shared = tokens.withColumn("flip", F.bitwise_not("token")).join(counts, "flip")
+    own = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
+    first = F.size("s") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    return own.select("key", "n", F.explode(F.slice("s", 1, F.greatest(first, F.lit(0)))).alias("s")).select(F.col("s.token").alias("g"), "key", "n")
+
+
+def overlap_links(texts: DataFrame, distinct: DataFrame, prints: DataFrame, least: float, size: int, most: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that span all pairs of candidates with an exact shingle overlap of ``least`` or more.
+
+    Candidates are the sets (``distinct``: key, n, bands, rep) that share a band key or a SimHash
+    class (``prints``: key, component_id).  All pairs of a group of at most ``most`` sets are
+    compared; larger groups are dealt again by the prefixes of their sets, whatever size these have
+    then.  A group of over ``block`` shingles is compared by pairs of its blocks.
+    """
+    alike = prints.select(F.xxhash64("component_id", F.lit("class")).alias("g"), "key").distinct().join(distinct.filter("n > 0").select("key", "n"), "key")
+    rows = distinct.select(F.explode(F.array_distinct("bands")).alias("g"), "key", "n").unionByName(alike)
+    shared = materialize(groups(rows))
+    wanted = shared.select("key").distinct().join(distinct.select("key", "rep"), "key")
+    made = texts.join(wanted.select("rep").distinct(), texts["doc_id"] == F.col("rep")).select("doc_id", "text").mapInArrow(_sets(size), "key long, set binary")
+    # an id may have several texts, and a text several rows
+    sets = materialize(made.join(wanted, "key").groupBy("key", "rep").agg(F.first("set").alias("set")))
+    hot = sets.join(shared.filter(F.col("c") > most).select("key").distinct(), "key", "left_semi")
+    small = shared.filter(F.col("c") <= most).select("g", "key", "w")
+    dealt = small.unionByName(groups(prefix_groups(hot, least)).select(F.xxhash64("g", F.lit("prefix")).alias("g"), "key", "w"))
+    k = F.ceil(F.col("w") / block).cast("int")
+    spread = dealt.withColumn("k", k).withColumn("side", F.pmod(F.xxhash64("key", "g"), F.col("k")).cast("int"))
+    spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = spread.select("g", F.least("side", "to").alias("lo"), F.greatest("side", "to").alias("hi"), "side", "key")
+    laid = spread.join(sets, "key").select("g", "lo", "hi", "side", "rep", "set")
+    return laid.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(_confirm(least), "a long, b long")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each class only the row with the smallest id stays.
 
-    Classes link equal SimHash fingerprints and those within RADIUS bits (covering LSH, shingles of
-    ``size`` words).  A shingle overlap of 0.8 leaves about ten of 64 bits different, which no
-    covering tables reach at a bearable number, so links of texts with at least that overlap come
-    from minhash bands beside it; the overlap is estimated from SKETCH minhash values, with a margin
-    of two standard errors below ``similarity``.
+    Classes are closed over links of texts whose sets of ``size``-word shingles have an exact Jaccard
+    index of ``similarity`` less 0.05 or more.  Candidates are texts of one SimHash class (equal fingerprints
+    and those within RADIUS bits, covering LSH) and texts that share a minhash band key: an overlap of
+    0.8 leaves about ten of 64 bits different, which no covering tables reach at a bearable number.
     Rows with a null id stay.  Of rows that share an id all stay or go together, but for rows that are equal in id and text.
     """
-    margin = 2 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    margin = 2 * (similarity * (1 - similarity) / 256) ** 0.5
     base = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
-    made = materialize(base.mapInArrow(_sketches(size), "doc_id long, fp long, sketch binary, bands array<long>"))
-    distinct = made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    found = classes(made.select("doc_id", "fp"), overlap_links(materialize(distinct), similarity - margin))
-    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct())
+    made = materialize(base.mapInArrow(_bands(size), "doc_id long, fp long, key long, n int, bands array<long>"))
+    distinct = materialize(made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    prints = made.select("key", "fp").distinct().join(classes(made.select("doc_id", "fp")).select("fp", "component_id").distinct(), "fp")
+    found = components(overlap_links(base, distinct, prints, similarity - margin, size))
+    named = distinct.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    gone = materialize(made.select("key", "doc_id").join(named, "key").filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct())
     discard(made)
+    discard(distinct)
     return docs.join(gone, docs["doc_id"] == gone["near_duplicate_id"], "left_anti")

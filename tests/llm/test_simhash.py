@@ -116,3 +116,31 @@ def test_keep_one(spark):
     # all of 4, 5 and 6 have no words; 9 comes twice; the null id stays
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == sorted((i is not None, i or 0) for i in [1, 4, 7, 8, 9, 9, None, -5, 10])
     assert S.keep_one(empty(spark)).collect() == []
+
+
+def family(pairs, common, own, apart, seed=20):
+    """Texts that share ``common`` words; each pair also shares ``own``, and each text has ``apart`` words alone."""
+    out, base = [], words(seed, common)
+    for k in range(pairs):
+        mine = words(1000 + seed + k, own)
+        out += [f"{base} {mine} {words(5000 + seed + 2 * k + x, apart)}" for x in (0, 1)]
+    return out
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most, block", [(200, 2_000_000), (3, 2_000_000), (3, 3000), (200, 3000)])
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, most, block):
+    """One bucket of a template: links just at the bound are found, whichever way it is dealt."""
+    texts = family(40, 300, 66, 39, seed=40)
+    sure = [k for k in range(0, 80, 2) if jaccard(texts[k], texts[k + 1]) >= 0.8]
+    assert len(sure) == 40 and jaccard(texts[0], texts[2]) < 0.8
+    docs = documents(spark, texts)
+    made = docs.select("doc_id", "text").mapInArrow(S._bands(5), "doc_id long, fp long, key long, n int, bands array<long>")
+    distinct = made.selectExpr("key", "doc_id AS rep", "n", "array(1L, 2L) AS bands")
+    prints = made.selectExpr("key", "doc_id AS component_id")
+    links = S.overlap_links(docs.select("doc_id", "text"), distinct, prints, 0.8, 5, most, block).distinct().collect()
+    assert sorted(tuple(sorted((r.a, r.b))) for r in links) == [(k, k + 1) for k in range(0, 80, 2)]
