@@ -406,17 +406,16 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     """Rows of ``docs`` without near duplicates: of each class only the row with the smallest id stays.
 
     Classes are closed over links of texts whose sets of ``size``-word shingles have an exact Jaccard
-    index of ``similarity`` less 0.05 or more.  Candidates are texts of one SimHash class (equal fingerprints
+    index of ``similarity`` or more.  Candidates are texts of one SimHash class (equal fingerprints
     and those within RADIUS bits, covering LSH) and texts that share a minhash band key: an overlap of
     0.8 leaves about ten of 64 bits different, which no covering tables reach at a bearable number.
     Rows with a null id stay.  Of rows that share an id all stay or go together, but for rows that are equal in id and text.
     """
-    margin = 2 * (similarity * (1 - similarity) / 256) ** 0.5
     base = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
     made = materialize(base.mapInArrow(_bands(size), "doc_id long, fp long, key long, n int, bands array<long>"))
     distinct = materialize(made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     prints = made.select("key", "fp").distinct().join(classes(made.select("doc_id", "fp")).select("fp", "component_id").distinct(), "fp")
-    found = components(overlap_links(base, distinct, prints, similarity - margin, size))
+    found = components(overlap_links(base, distinct, prints, similarity, size))
     named = distinct.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     gone = materialize(made.select("key", "doc_id").join(named, "key").filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct())
     discard(made)

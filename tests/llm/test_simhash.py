@@ -132,6 +132,13 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
+def test_keep_one_confirms_links(spark):
+    """Texts of a template below 0.8 all stay but for the true near copies among them."""
+    texts = family(60, 320, 70, 1)
+    assert jaccard(texts[0], texts[1]) > 0.97 and 0.65 < jaccard(texts[0], texts[2]) < 0.8
+    assert sorted(r.doc_id for r in S.keep_one(documents(spark, texts)).collect()) == list(range(0, 120, 2))
+
+
 @pytest.mark.parametrize("most, block", [(200, 2_000_000), (3, 2_000_000), (3, 3000), (200, 3000)])
 def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, most, block):
     """One bucket of a template: links just at the bound are found, whichever way it is dealt."""
