@@ -3,10 +3,12 @@
 Canonical form: numbers, units after numbers and capitalised names inside sentences become typed
 placeholders, other words are lowered, punctuation goes.  Windows of WIDTH template tokens (shorter
 items: the whole item) of documents and benchmark items are joined by hash.  Matches of a document
-and an item with one offset between them form an alignment.  Its slots must be consistent: one
-value of the item always meets the same value of the document, and the other way round; then the
-alignment shows the item itself or the item with other numbers and names (``reparameterised``).
-A document is contaminated if consistent alignments cover COVER of an item's windows or more.
+and an item with one offset between them form an alignment.  Each slot of the item votes for the
+value that it meets, and most votes decide what a value of the item becomes (two values may become
+one); windows with another value are left out.  If there is no such majority the value stays as it
+is, provided that nothing else has changed; otherwise the alignment shows nothing.  What is left
+shows the item itself or the item with other numbers and names (``reparameterised``).
+A document is contaminated if alignments cover COVER of an item's windows or more.
 
 The benchmark is the query set: its windows are broadcast only up to MOST_BROADCAST rows by count;
 beyond, both sides are shuffled by hash.  Null and empty texts have no window; an item without a
@@ -52,13 +54,19 @@ def slots(words: Column, at: Column, width: Column) -> Column:
     return F.filter(F.slice(words, at + 1, width), lambda w: w.startswith("\u0001"))
 
 
+def placed_slots(words: Column, at: Column, width: Column) -> Column:
+    """The slots (place in the text, value) of the window that begins at ``at``."""
+    placed = F.transform(F.slice(words, at + 1, width), lambda w, k: F.struct((at + k).alias("place"), w.alias("value")))
+    return F.filter(placed, lambda s: s["value"].startswith("\u0001"))
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, i_windows, i_at, h, width, i_slots) of each window of each item."""
     items = benchmark.select("item_id", marked("text").alias("words")).withColumn("tokens", template(F.col("words"))).filter("size(tokens) > 0")
     items = items.withColumn("width", F.least(F.lit(width), F.size("tokens")))
     hashed = items.withColumn("hs", window_hashes(F.col("tokens"), F.col("width"))).withColumn("i_windows", F.size("hs"))
     rows = hashed.select("item_id", "words", "width", "i_windows", F.posexplode("hs").alias("i_at", "h"))
-    return rows.select("item_id", "i_windows", "i_at", "h", "width", slots(F.col("words"), F.col("i_at"), F.col("width")).alias("i_slots"))
+    return rows.select("item_id", "i_windows", "i_at", "h", "width", placed_slots(F.col("words"), F.col("i_at"), F.col("width")).alias("i_slots"))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -80,16 +88,29 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     return found
 
 
+def consistent(lined: DataFrame) -> DataFrame:
+    """Alignments with those of their ``windows`` (i_at, pairs (place, i, d)) that keep to one value for each value of the item."""
+    voted = lined.withColumn("votes", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
+    alike = lambda p: F.filter("votes", lambda q: q["i"] == p["i"])
+    same = lambda p: F.filter("votes", lambda q: (q["i"] == p["i"]) & (q["d"] == p["d"]))
+    rated = voted.withColumn("rated", F.transform("votes", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), (2 * F.size(same(p)) > F.size(alike(p))).alias("most"), (F.size(same(p)) == F.size(alike(p))).alias("alone"))))
+    rated = rated.withColumn("verbatim", F.forall("rated", lambda r: (r["i"] == r["d"]) | ~r["alone"]))
+    settled = lambda r: F.exists("rated", lambda q: (q["i"] == r["i"]) & q["most"])
+    chosen = rated.withColumn("chosen", F.filter("rated", lambda r: r["most"] | (F.col("verbatim") & (r["i"] == r["d"]) & ~settled(r))))
+    sound = chosen.filter(F.forall("votes", lambda p: F.exists("chosen", lambda c: c["i"] == p["i"])))
+    holds = lambda p: F.exists("chosen", lambda c: (c["i"] == p["i"]) & (c["d"] == p["d"]))
+    return sound.withColumn("windows", F.filter("windows", lambda w: F.forall(w["pairs"], holds)))
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """One row for each contaminated document id and item: id, item_id, coverage, reparameterised."""
     hit = matches(docs, item_windows(benchmark, width), width)
-    pair = F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d"))
+    pairs = F.zip_with("i_slots", "d_slots", lambda i, d: F.struct(i["place"].alias("place"), i["value"].alias("i"), d.alias("d")))
     grouped = hit.withColumn("offset", F.col("at") - F.col("i_at")).groupBy("id", "item_id", "offset")
-    lined = grouped.agg(F.max("i_windows").alias("i_windows"), F.collect_set("i_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
-    count = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
-    consistent = lined.filter((count(lambda p: p["i"]) == F.size("pairs")) & (count(lambda p: p["d"]) == F.size("pairs")))
-    changed = F.exists("pairs", lambda p: p["i"] != p["d"])
-    found = consistent.groupBy("id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("i_windows")).alias("coverage"), F.max(changed).alias("reparameterised"))
+    lined = grouped.agg(F.max("i_windows").alias("i_windows"), F.collect_set(F.struct("i_at", pairs.alias("pairs"))).alias("windows"))
+    kept = consistent(lined).withColumn("covered", F.transform("windows", lambda w: w["i_at"]))
+    changed = F.exists("windows", lambda w: F.exists(w["pairs"], lambda p: p["i"] != p["d"]))
+    found = kept.groupBy("id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("i_windows")).alias("coverage"), F.max(changed).alias("reparameterised"))
     return found.filter(F.col("coverage") >= cover)
 
 

@@ -96,3 +96,16 @@ def test_against_brute_force(spark):
     for d, found in want.items():
         assert (got[d].n_items, got[d].item_id, got[d].reparameterised) == (len(found), min(found), any(x[1] for x in found.values()))
         assert abs(got[d].coverage - max(x[0] for x in found.values())) < 1e-6
+
+
+def test_coinciding_numbers_and_an_altered_repeat(spark):
+    q = "Tom buys 3 apples and then 4 pears at the old shop near the river, eats some of the fruit on the long way home with 3 friends and counts what is left in the bag before supper with 3 cousins"
+    one = q.replace("3", "5").replace("4", "5")
+    altered = q.replace("3 friends", "8 friends")
+    twice = "A box holds 6 red balls that were bought in the town last week and nobody has opened it since, while a crate in the cellar of the house holds 6 blue ones"
+    half = twice.replace("6 blue", "7 blue")
+    texts = [f"{words(1, 30)}. {x}. {words(2, 30)}" for x in (one, altered, half, q)]
+    found = D.judge(documents(spark, texts), spark.createDataFrame([(1, q), (2, twice)], "item_id long, text string")).collect()
+    got = {r.doc_id: (r.contaminated, r.item_id, r.reparameterised) for r in found}
+    assert got == {0: (True, 1, True), 1: (True, 1, False), 2: (True, 2, False), 3: (True, 1, False)}
+    assert {r.doc_id: r.coverage for r in found}[1] < 1 == {r.doc_id: r.coverage for r in found}[3]
