@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Canonical form: numbers, units after numbers and capitalised names inside sentences become typed
-placeholders, other words are lowered, punctuation goes.  Windows of WIDTH template tokens (shorter
+placeholders, other words are lowered, punctuation goes.  Capitalised words elsewhere (at the start
+of a sentence, after a digit, quote or bracket) are looked up both as words and as names, but for
+items of one window; an item's windows with names are also looked up with the lowered words.  Windows of WIDTH template tokens (shorter
 items: the whole item) of documents and benchmark items are joined by hash.  Matches of a document
 and an item with one offset between them form an alignment.  Each slot of the item votes for the
 value that it meets, and most votes decide what a value of the item becomes (two values may become
@@ -29,18 +31,30 @@ UNITS = "km|kg|cm|mm|mg|ml|m|g|l|h|s|min|sec|hours?|minutes?|seconds?|days?|week
 
 
 def marked(text: Column) -> Column:
-    """Words of the text; a slot has U+0001, its type (n, u, p) and its value."""
+    """Words of the text; a slot has U+0001, its type (n, u, p; q for what may be a name) and its value."""
     t = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", " \u0001n$0 ")
     t = F.regexp_replace(t, rf"(\u0001n\S+) +((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 \u0001u$2")
     # each pattern begins with what is rare or decides at once
     t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", " \u0001p")
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])", "\u0001q")
     words = F.split(F.lower(t), r"(?:[^\p{L}\p{N}\u0001.,:/]|[.,:/](?!\d)|(?<!\d)[.,:/])+")
     return F.filter(words, lambda w: w != "")
 
 
 def template(words: Column) -> Column:
-    """Hashes of the words, slots by their type alone."""
-    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)))
+    """Hashes of the words, slots by their type alone; what may be a name is a word."""
+    word = lambda w: F.when(w.startswith("\u0001q"), F.substring(w, 3, 1_000_000_000)).when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)
+    return F.transform(words, lambda w: F.xxhash64(word(w)))
+
+
+def opened(words: Column) -> Column:
+    """The words, with what may be a name as a name."""
+    return F.transform(words, lambda w: F.when(w.startswith("\u0001q"), F.concat(F.lit("\u0001p"), F.substring(w, 3, 1_000_000_000))).otherwise(w))
+
+
+def nameless(words: Column) -> Column:
+    """The words, with names as words."""
+    return F.transform(words, lambda w: F.when(w.startswith("\u0001p") | w.startswith("\u0001q"), F.substring(w, 3, 1_000_000_000)).otherwise(w))
 
 
 def window_hashes(tokens: Column, width: Column) -> Column:
@@ -49,36 +63,55 @@ def window_hashes(tokens: Column, width: Column) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def slots(words: Column, at: Column, width: Column) -> Column:
+def open_windows(words: Column, tokens: Column, width: int) -> Column:
+    """(at, h) of the windows that hold what may be a name, taken as a name; ``tokens`` are the hashes of the opened words."""
+    last = F.size(tokens) - width
+    places = F.filter(F.transform(words, lambda w, k: F.when(w.startswith("\u0001q"), k)), lambda k: k.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda k: F.sequence(F.greatest(k - width + 1, F.lit(0)), F.least(k, last)))))
+    none = F.array().cast("array<struct<at:int,h:bigint,opened:boolean>>")
+    return F.when(last >= 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("h"), F.lit(True).alias("opened")))).otherwise(none)
+
+
+def slots(words: Column, at: Column, width: Column, open_: Column) -> Column:
     """The slot values of the window that begins at ``at`` (from 0)."""
-    return F.filter(F.slice(words, at + 1, width), lambda w: w.startswith("\u0001"))
+    cut = F.slice(words, at + 1, width)
+    plain = F.filter(cut, lambda w: w.startswith("\u0001") & ~w.startswith("\u0001q"))
+    return F.when(open_, F.filter(opened(cut), lambda w: w.startswith("\u0001"))).otherwise(plain)
 
 
 def placed_slots(words: Column, at: Column, width: Column) -> Column:
     """The slots (place in the text, value) of the window that begins at ``at``."""
     placed = F.transform(F.slice(words, at + 1, width), lambda w, k: F.struct((at + k).alias("place"), w.alias("value")))
-    return F.filter(placed, lambda s: s["value"].startswith("\u0001"))
+    return F.filter(placed, lambda s: s["value"].startswith("\u0001") & ~s["value"].startswith("\u0001q"))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, i_windows, i_at, h, width, i_slots) of each window of each item."""
     items = benchmark.select("item_id", marked("text").alias("words")).withColumn("tokens", template(F.col("words"))).filter("size(tokens) > 0")
     items = items.withColumn("width", F.least(F.lit(width), F.size("tokens")))
-    hashed = items.withColumn("hs", window_hashes(F.col("tokens"), F.col("width"))).withColumn("i_windows", F.size("hs"))
-    rows = hashed.select("item_id", "words", "width", "i_windows", F.posexplode("hs").alias("i_at", "h"))
-    return rows.select("item_id", "i_windows", "i_at", "h", "width", placed_slots(F.col("words"), F.col("i_at"), F.col("width")).alias("i_slots"))
+    items = items.withColumn("i_windows", F.size("tokens") - F.col("width") + 1)
+    ways = F.array(F.col("words"), nameless(F.col("words")))
+    # items of one window keep names by context alone, as test_against_brute_force has it
+    ways = F.when(F.size("words") > width, F.concat(ways, F.array(opened(F.col("words"))))).otherwise(ways)
+    typed = items.withColumn("words", F.explode(ways)).withColumn("tokens", template(F.col("words"))).withColumn("hs", window_hashes(F.col("tokens"), F.col("width")))
+    rows = typed.select("item_id", "words", "width", "i_windows", F.posexplode("hs").alias("i_at", "h"))
+    return rows.select("item_id", "i_windows", "i_at", "h", "width", placed_slots(F.col("words"), F.col("i_at"), F.col("width")).alias("i_slots")).distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Matching windows: id, at, item_id, i_at, i_windows and the slots of both sides."""
     facts = items.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("width")).alias("widths")).first()
-    base = docs.select(solid_id().alias("id"), marked("text").alias("words")).withColumn("tokens", template(F.col("words")))
+    # columns that a lambda reads are made before it and read twice, or they are made again in each of its calls
+    base = docs.select(solid_id().alias("id"), marked("text").alias("words")).withColumn("tokens", template(F.col("words"))).withColumn("names", template(opened(F.col("words"))))
     small = facts["n"] <= MOST_BROADCAST
     found = None
     for w in facts["widths"] or [width]:  # WIDTH, and the lengths of shorter items
-        rows = base.select("id", "words", F.posexplode(window_hashes(F.col("tokens"), F.lit(w))).alias("at", "h"))
+        every = F.transform(window_hashes(F.col("tokens"), F.lit(w)), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.lit(False).alias("opened")))
+        if w == width:
+            every = F.concat(every, open_windows(F.col("words"), F.col("names"), w))
+        rows = base.select("id", "words", F.inline(every))
         own = items.filter(F.col("width") == w).drop("width")
-        value = slots(F.col("words"), F.col("at"), F.lit(w)).alias("d_slots")
+        value = slots(F.col("words"), F.col("at"), F.lit(w), F.col("opened")).alias("d_slots")
         if small:
             # the words stay in the row that is being looked up; slots are cut out of matches alone
             hit = rows.join(F.broadcast(own), "h").select("id", "at", "item_id", "i_at", "i_windows", "i_slots", value)

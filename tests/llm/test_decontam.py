@@ -109,3 +109,12 @@ def test_coinciding_numbers_and_an_altered_repeat(spark):
     got = {r.doc_id: (r.contaminated, r.item_id, r.reparameterised) for r in found}
     assert got == {0: (True, 1, True), 1: (True, 1, False), 2: (True, 2, False), 3: (True, 1, False)}
     assert {r.doc_id: r.coverage for r in found}[1] < 1 == {r.doc_id: r.coverage for r in found}[3]
+
+
+def test_names_whatever_stands_before_them(spark):
+    q = "Natalia sold clips to her old friends in the spring. Natalia gave half as many to the new ones in May. Natalia kept none; how many clips did she part with"
+    inside = "Every day the tall boy Marcus walks to the far end of the park with his dog, and there Marcus meets his aunt before supper"
+    texts = [q.replace("Natalia", "Maria"), q.lower(), inside.lower(), inside.replace("boy Marcus", 'boy "Peter"').replace("Marcus", "Peter"), words(9, 40)]
+    texts = [f"{words(1, 30)}. {x}. {words(2, 30)}" for x in texts]
+    found = D.judge(documents(spark, texts), spark.createDataFrame([(1, q), (2, inside)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.contaminated, r.item_id) for r in found} == {0: (True, 1), 1: (True, 1), 2: (True, 2), 3: (True, 2), 4: (False, None)}
