@@ -1,13 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element, in page order; character references are
-decoded and white space inside a line becomes one space.  A line inside navigation, header, footer,
-aside, form, script, style or an element whose class, id or role names such a part counts as empty,
-and so does the text of its links elsewhere for the measure (not for the output).  Over sliding
-windows of WINDOW lines the text lengths are summed: a surge point is where a window's sum rises
-from nothing beyond SURGE, a dive point where it falls back to nothing.  The lines between a surge
-and its dive are a stretch.  If the page marks its article (article or main element, or such a
-role), every stretch of it is kept; else the longest stretch and those of at least SHARE of it.
+decoded and white space inside a line becomes one space.  Navigation, header, footer, aside, form,
+script, style and elements with a class, id or role that names such a part are set aside.  Set-aside lines between two containers count as empty, and so
+does the text of links outside an article for the measure (not for the output).  Over sliding windows
+of WINDOW lines the text lengths are summed: a surge point is where a window's sum rises from nothing
+beyond SURGE, a dive point where it falls back to nothing.  The lines between a surge and its dive are
+a stretch.  Stretches of at least SHARE of the longest are strong; all text from the first strong one
+to the last is kept.  An article or main element (or such a role) begins and ends a stretch and its
+text counts MARKED times; it decides nothing else.
 
 A null or empty page gives an empty text; so does a page without text.  Unclosed elements end with
 their parent; a page that ends early is read as far as it goes.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-WINDOW, SURGE, SHARE = 3, 80, 0.3
+WINDOW, SURGE, SHARE, MARKED = 3, 80, 0.3, 3
 
 TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)"
@@ -36,6 +37,9 @@ TOKEN = re.compile(
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+WRAPPERS = frozenset("form header fieldset".split())
+#: Elements of one line, or of inline text; what holds them is the container of the line.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre center caption summary figcaption".split())
 ASIDE = frozenset("nav header footer aside form head menu button dialog fieldset".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,28 +55,39 @@ MAIN = re.compile(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?art
 SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, set aside, in the article) of each block, in page order; set-aside blocks give empty lines."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def named_part(rest: str) -> bool:
+    """Whether a word in class, id, role or label names a part that is set aside."""
+    return any(PARTS.search(names) for names in NAMES.findall(rest))
+
+
+def lines(page: str) -> list[tuple[str, int, bool, int, int]]:
+    """(text, characters in links, set aside, number of the outermost article or 0, number of the container) of each block, in page order."""
+    out: list[tuple[str, int, tuple[int, ...], int, int]] = []
+    wrappers: set[int] = set()
+    # (name, number, set aside, article)
+    stack: list[tuple[str, int, bool, bool]] = []
     piece: list[str] = []
     linked: list[str] = []
-    off = main = links = 0
-    at = 0
+    off: list[int] = []
+    main: list[int] = []
+    links = number = at = 0
 
     def close_line() -> None:
         text = SPACE.sub(" ", html.unescape("".join(piece))).strip()
         piece.clear()
-        if text or off:
+        if text:
             link = len(SPACE.sub(" ", html.unescape("".join(linked))).strip())
-            out.append(("" if off else text, 0 if off else link, bool(off), bool(main)))
+            inside = next((n for name, n, *_ in reversed(stack) if name in BLOCKS and name not in LEAVES), 0)
+            out.append((text, link, tuple(off), main[0] if main else 0, inside))
         linked.clear()
 
     def pop() -> None:
-        nonlocal off, main, links
-        name, was_off, was_main = stack.pop()
-        off -= was_off
-        main -= was_main
+        nonlocal links
+        name, _, was_off, was_main = stack.pop()
+        if was_off:
+            off.pop()
+        if was_main:
+            main.pop()
         links -= name == "a"
 
     for m in TOKEN.finditer(page):
@@ -110,15 +125,23 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                         pop()
                     break
         is_main = tag in ("article", "main") or bool(MAIN.search(m["rest"]))
-        aside = tag in ASIDE or not is_main and tag not in ("html", "body") and bool(m["rest"]) and (any(PARTS.search(n) for n in NAMES.findall(m["rest"])) or bool(HIDDEN.search(m["rest"])))
-        stack.append((tag, aside, is_main))
-        off += aside
-        main += is_main
+        hidden = bool(m["rest"]) and not is_main and tag not in ("html", "body") and bool(HIDDEN.search(m["rest"]))
+        named = not hidden and bool(m["rest"]) and not is_main and tag not in ("html", "body") and named_part(m["rest"])
+        aside = tag in ASIDE or hidden or named
+        number += 1
+        stack.append((tag, number, aside, is_main))
+        if aside:
+            off.append(number)
+            if not hidden and (tag in WRAPPERS or tag not in ASIDE):
+                wrappers.add(number)
+        if is_main:
+            main.append(number)
         links += tag == "a"
     if at < len(page):
         piece.append(page[at:])
     close_line()
-    return out
+    spared: set[int] = set()
+    return [(text, link, any(n not in spared for n in own), article, inside) for text, link, own, article, inside in out]
 
 
 def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -144,23 +167,25 @@ def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    blocks = lines(page)
-    marked = any(main and text for text, _, _, main in blocks)
-    if marked:
-        kept = [text for text, _, aside, main in blocks if text and main and not aside]
-        sizes = [len(t) for t in kept]
-        return " ".join(t for a, b in (stretches(sizes, surge=0) if sizes else []) for t in kept[a:b])
-    # set-aside parts part the stretches, as wide as a window
     sizes, texts = [], []
-    for text, link, aside, _ in blocks:
-        for _ in range(WINDOW if aside else 1):
-            sizes.append(0 if aside else max(0, len(text) - link))
-            texts.append(text)
+    parted, before = False, None
+    for text, link, aside, article, inside in lines(page):
+        if aside:
+            parted = True
+            continue
+        # set-aside parts between two containers and the borders of an article are as wide as a window
+        if before and (article != before[0] or parted):
+            sizes += [0] * WINDOW
+            texts += [""] * WINDOW
+        sizes.append(MARKED * len(text) if article else max(0, len(text) - link))
+        texts.append(text)
+        parted, before = False, (article, inside)
     found = [(sum(sizes[a:b]), a, b) for a, b in stretches(sizes)]
     if not found:
         return ""
     most = max(found)[0]
-    return " ".join(t for size, a, b in found if size >= SHARE * most for t in texts[a:b] if t)
+    strong = [(a, b) for size, a, b in found if size >= SHARE * most]
+    return " ".join(t for t in texts[strong[0][0] : strong[-1][1]] if t)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,3 +40,11 @@ def test_spark(spark):
     got = H.main_text(df).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and got[1].text == ""
     assert H.main_text(df.filter("false")).collect() == []
+
+
+def test_the_measure_decides_over_article_marks():
+    story = "".join(f"<p>{LONG}</p>" for _ in range(8))
+    cards = "".join(f"<article><p>Teaser {k}</p></article>" for k in range(3))
+    body = " ".join([" ".join(LONG.split())] * 8)
+    assert H.extract(f"<body><div>{cards}</div><div>{story}</div></body>") == body
+    assert H.extract(f"<body><article>{story}</article><div>{story}</div></body>") == f"{body} {body}"
