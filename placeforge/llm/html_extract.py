@@ -174,7 +174,7 @@ def extract(page: str | None) -> str:
             parted = True
             continue
         # set-aside parts between two containers and the borders of an article are as wide as a window
-        if before and (article != before[0] or parted):
+        if before and (article != before[0] or parted and inside != before[1] and not (article and article == before[0])):
             sizes += [0] * WINDOW
             texts += [""] * WINDOW
         sizes.append(MARKED * len(text) if article else max(0, len(text) - link))

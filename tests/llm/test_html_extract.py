@@ -48,3 +48,10 @@ def test_the_measure_decides_over_article_marks():
     body = " ".join([" ".join(LONG.split())] * 8)
     assert H.extract(f"<body><div>{cards}</div><div>{story}</div></body>") == body
     assert H.extract(f"<body><article>{story}</article><div>{story}</div></body>") == f"{body} {body}"
+
+
+def test_text_after_a_set_aside_block_stays():
+    closing = "The closing paragraph. " * 9
+    story = "".join(f"<p>{LONG}</p>" for _ in range(9))
+    for end in (closing, "End."):
+        assert H.extract(f"<body><div>{story}<div class='ad'>Buy</div><p>{end}</p></div></body>").endswith(end.strip())
