@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one for each block element, in page order; character references are
 decoded and white space inside a line becomes one space.  Navigation, header, footer, aside, form,
-script, style and elements with a class, id or role that names such a part are set aside.  Set-aside lines between two containers count as empty, and so
+script, style and elements with a class, id or role that names such a part are set aside, but for a
+wrapper: a form, a header or a named element which holds the page's marked article or most of its
+text, with no marked article outside.  Set-aside lines between two containers count as empty, and so
 does the text of links outside an article for the measure (not for the output).  Over sliding windows
 of WINDOW lines the text lengths are summed: a surge point is where a window's sum rises from nothing
 beyond SURGE, a dive point where it falls back to nothing.  The lines between a surge and its dive are
@@ -47,8 +49,9 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 PARTS = re.compile(
-    r"(?<![a-z])(?:ads?|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|masthead|site-?header|page-?header|header|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|signup|"
-    r"share\w*|social\w*|comments?|comment-?\w*|replies|respond|disqus\w*|related\w*|recommend\w*|widget\w*|complementary|contentinfo|navigation|search\w*|login|pagination|pager|toolbar|skip-?link|copyright|disclaimer|legal|alert)(?![a-z])",
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|sub|mobile|post|entry|article|user)[-_])*(?:ads?|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|masthead|site-?header|page-?header|header|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|signup|"
+    r"share\w*|social\w*|comments?|comment-?\w*|replies|respond|disqus\w*|related\w*|recommend\w*|widget\w*|complementary|contentinfo|navigation|search\w*|login|pagination|pager|toolbar|skip-?link|copyright|disclaimer|legal|alert)"
+    r"(?:[-_]?(?:\d+|list|box|bar|links?|menu|area|block|section|slot|unit|items?|inner|left|right|top|bottom|form|banner|wrapper|container))*",
     re.IGNORECASE,
 )
 MAIN = re.compile(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody\b", re.IGNORECASE)
@@ -56,8 +59,8 @@ SPACE = re.compile(r"\s+")
 
 
 def named_part(rest: str) -> bool:
-    """Whether a word in class, id, role or label names a part that is set aside."""
-    return any(PARTS.search(names) for names in NAMES.findall(rest))
+    """Whether a whole word of class, id, role or label names a part that is set aside."""
+    return any(PARTS.fullmatch(word) for names in NAMES.findall(rest) for word in names.strip("\"'").split())
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int, int]]:
@@ -140,10 +143,27 @@ def lines(page: str) -> list[tuple[str, int, bool, int, int]]:
     if at < len(page):
         piece.append(page[at:])
     close_line()
-    spared: set[int] = set()
+    spared = spare(out, wrappers)
     return [(text, link, any(n not in spared for n in own), article, inside) for text, link, own, article, inside in out]
 
 
+def spare(found: list[tuple], wrappers: set[int]) -> set[int]:
+    """Those of ``wrappers`` that hold the marked article or most of the page's text (links aside), with no marked text outside."""
+    total = marked = 0
+    held: dict[int, list[int]] = {n: [0, 0] for n in wrappers}
+    for text, link, own, article, _ in found:
+        size, main = max(0, len(text) - link), len(text) * bool(article)
+        total += size
+        # articles inside navigation, asides and footers are teasers
+        main = main if all(n in held for n in own) else 0
+        marked += main
+        for n in own:
+            if n in held:
+                held[n][0] += size
+                held[n][1] += main
+    return {n for n, (size, main) in held.items() if main == marked and (main or 2 * size > total)}
+
+
 def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """(first line, end) of what lies between surge and dive points of the windowed sums."""
     n = len(sizes)

@@ -55,3 +55,12 @@ def test_text_after_a_set_aside_block_stays():
     story = "".join(f"<p>{LONG}</p>" for _ in range(9))
     for end in (closing, "End."):
         assert H.extract(f"<body><div>{story}<div class='ad'>Buy</div><p>{end}</p></div></body>").endswith(end.strip())
+
+
+def test_wrappers_with_modifier_names_stay():
+    body = " ".join(LONG.split())
+    for name in ("content has-sidebar", "layout with-sidebar", "post-content no-comments", "legal-text", "sidebar", "modal"):
+        assert H.extract(f"<body><div class='{name}'><article><p>{LONG}</p></article><div class='sidebar'>Side</div></div></body>") == body
+        assert H.extract(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == body
+    for name in ("site-footer", "sidebar", "cookie-banner", "main-nav"):
+        assert H.extract(f"<body><article><p>{LONG}</p></article><div class='{name}'><p>{LONG}</p></div></body>") == body
