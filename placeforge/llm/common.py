@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,12 +18,14 @@ NULL_ID = -(2**63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    A session without ``spark.checkpoint.dir`` (a local test) gets a temporary one.
+    A local session without ``spark.checkpoint.dir`` (a test) gets a temporary one; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="placeforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,9 +57,20 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def solid_id(name: str = "doc_id") -> Column:
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The table, written, and marked for broadcast only if it has at most ``most`` rows by count."""
+    made = materialize(df)
+    return F.broadcast(made) if made.limit(most + 1).count() <= most else made
+
+
+def solid_id(name: str | Column = "doc_id") -> Column:
     """The id with NULL_ID for null, so that joins and sorts keep such rows."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+    return F.coalesce((F.col(name) if isinstance(name, str) else name).cast("long"), F.lit(NULL_ID))
+
+
+def text_key(name: str | Column = "text") -> Column:
+    """Tells apart rows that share an id: a 64-bit hash of the text, never null."""
+    return F.xxhash64(F.col(name) if isinstance(name, str) else name)
 
 
 def plain_id(name: str) -> Column:

@@ -1,124 +1,198 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Canonical form: numbers, units after numbers and capitalised names inside sentences become typed
-placeholders, other words are lowered, punctuation goes.  Capitalised words elsewhere (at the start
-of a sentence, after a digit, quote or bracket) are looked up both as words and as names, but for
-items of one window; an item's windows with names are also looked up with the lowered words.  Windows of WIDTH template tokens (shorter
-items: the whole item) of documents and benchmark items are joined by hash.  Matches of a document
-and an item with one offset between them form an alignment.  Each slot of the item votes for the
-value that it meets, and most votes decide what a value of the item becomes (two values may become
-one); windows with another value are left out.  If there is no such majority the value stays as it
-is, provided that nothing else has changed; otherwise the alignment shows nothing.  What is left
-shows the item itself or the item with other numbers and names (``reparameterised``).
+Tokens are numbers, letter runs and other numerals; what stands before a token doesn't matter for its
+type.  A window of WIDTH tokens has these forms: the *number form* (numbers and units after numbers are
+typed placeholders, other words are lowered), the *name form* (capitalised words are placeholders too)
+and, where fewer than LEAST_WORDS words are left in the number form, the *literal form* in its place:
+a list of numbers is only matched by the same numbers.  The name form needs as many words.
+Windows of documents and benchmark items are joined by hash, form by form.  An item of SHORT to
+WIDTH - 1 tokens is looked up by its first SHORT tokens and then compared literally as a whole, but for
+case; an item of fewer tokens proves nothing and matches nothing.
+
+Matches of a document and an item with one offset between them form an alignment.  Each slot of the
+item votes for the value that it meets, and most votes decide what a value of the item becomes (two
+values may become one); windows with another value are left out.  If there is no such majority the
+value stays as it is, provided that nothing else has changed; otherwise the alignment shows nothing.
+What is left shows the item itself or the item with other numbers and names (``reparameterised``).
 A document is contaminated if alignments cover COVER of an item's windows or more.
 
 The benchmark is the query set: its windows are broadcast only up to MOST_BROADCAST rows by count;
-beyond, both sides are shuffled by hash.  Null and empty texts have no window; an item without a
-token matches nothing.  Rows that share a document id count as one document; a null id is one too.
+beyond, both sides are shuffled by hash.  A document is looked up in blocks of BLOCK tokens.
+
+Null and empty texts have no window.  A document is a row's id with its text: rows that share an id
+(a null id too) are judged apart, rows that repeat both are judged alike.  The same holds for items;
+an empty benchmark matches nothing and an empty table stays empty.  Ties between items: the smallest id is named.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, plain_id, solid_id, table
+from .common import few, plain_id, solid_id, table, text_key
 
-WIDTH, COVER = 8, 0.5
+WIDTH, SHORT, LEAST_WORDS, COVER = 8, 4, 3, 0.5
 MOST_BROADCAST = 2_000_000
+#: Contaminated documents up to which their keys are broadcast.
+MOST_KEYS = 100_000
+BLOCK = 50_000
+TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+|[^\P{N}0-9]+"
 #: Units of measure that count as such after a number.
-UNITS = "km|kg|cm|mm|mg|ml|m|g|l|h|s|min|sec|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|foot|inch(?:es)?|pounds?|grams?|lit(?:er|re)s?|dollars?|euros?|cents?|percent|degrees?"
+UNITS = (
+    "km kg cm mm mg ml m g l h s min sec hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres "
+    "mile miles feet foot inch inches pound pounds gram grams liter liters litre litres dollar dollars euro euros cent cents percent degree degrees"
+).split()
+#: Marks of a token that is a number, a unit after one, or may be a name; its value follows.
+NUMBER, UNIT, NAME = "\u0001n", "\u0001u", "\u0001q"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def marked(text: Column) -> Column:
-    """Words of the text; a slot has U+0001, its type (n, u, p; q for what may be a name) and its value."""
-    t = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", " \u0001n$0 ")
-    t = F.regexp_replace(t, rf"(\u0001n\S+) +((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 \u0001u$2")
-    # each pattern begins with what is rare or decides at once
-    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", " \u0001p")
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])", "\u0001q")
-    words = F.split(F.lower(t), r"(?:[^\p{L}\p{N}\u0001.,:/]|[.,:/](?!\d)|(?<!\d)[.,:/])+")
-    return F.filter(words, lambda w: w != "")
+    """The text's tokens, lowered; numbers, units and capitalised words with their marks."""
+
+    def mark(w: Column, low: Column, before: Column) -> Column:
+        unit = low.isin(UNITS) & (before >= "0") & (before < ":")
+        same = F.when((low >= "0") & (low < ":"), F.concat(F.lit(NUMBER), low)).when(F.coalesce(unit, F.lit(False)), F.concat(F.lit(UNIT), low)).otherwise(low)
+        second = F.substring(w, 2, 1)
+        name = (F.substring(w, 1, 1) != F.substring(low, 1, 1)) & (second != "") & (second == F.substring(low, 2, 1))
+        return F.when(w == low, same).when(name, F.concat(F.lit(NAME), low)).otherwise(same)
+
+    every = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    typed = lambda words: let(F.transform(words, F.lower), lambda low: F.transform(words, lambda w, i: mark(w, F.get(low, i), F.get(low, i - 1))))
+    return let(every, typed)
+
+
+def unpacked(*lists: str, kind: str) -> Column:
+    """The structs of columns of lists as rows.
+
+    The lists are made in a projection before: a generator that holds a lambda copies its row for each
+    of its rows, and one over a mere column makes the optimizer put the column's expression into a filter.
+    """
+    fields = ", ".join(f"{name}:{type_}" for name, type_ in (f.split() for f in kind.split(", ")))
+    return F.inline(F.concat(*lists, F.array().cast(f"array<struct<{fields}>>")))
+
+
+def plain(word: Column) -> Column:
+    return F.when(word.startswith("\u0001"), F.substring(word, 3, 1_000_000_000)).otherwise(word)
+
+
+def number_form(words: Column) -> Column:
+    """Hashes of the tokens, numbers and units by their mark alone."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith(NAME), plain(w)).when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)))
+
+
+def name_form(words: Column) -> Column:
+    """Hashes of the tokens, whatever is marked by its mark alone."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)))
+
+
+def literal_form(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(plain(w)))
 
 
-def template(words: Column) -> Column:
-    """Hashes of the words, slots by their type alone; what may be a name is a word."""
-    word = lambda w: F.when(w.startswith("\u0001q"), F.substring(w, 3, 1_000_000_000)).when(w.startswith("\u0001"), F.substring(w, 1, 2)).otherwise(w)
-    return F.transform(words, lambda w: F.xxhash64(word(w)))
+def hashed(tokens: Column, at: Column, form: int, width: int = WIDTH) -> Column:
+    """The hash of the window at ``at`` (from 0), another one for each form."""
+    return F.xxhash64(F.lit(form), F.slice(tokens, at + 1, width))
 
 
-def opened(words: Column) -> Column:
-    """The words, with what may be a name as a name."""
-    return F.transform(words, lambda w: F.when(w.startswith("\u0001q"), F.concat(F.lit("\u0001p"), F.substring(w, 3, 1_000_000_000))).otherwise(w))
+def starts(size: Column, width: int = WIDTH) -> Column:
+    return F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
 
 
-def nameless(words: Column) -> Column:
-    """The words, with names as words."""
-    return F.transform(words, lambda w: F.when(w.startswith("\u0001p") | w.startswith("\u0001q"), F.substring(w, 3, 1_000_000_000)).otherwise(w))
+def where(words: Column, *marks: str) -> Column:
+    """Places of the tokens with one of the marks."""
+    has = lambda w: w.startswith(marks[0]) if len(marks) == 1 else w.startswith(marks[0]) | w.startswith(marks[1])
+    return F.filter(F.transform(words, lambda w, k: F.when(has(w), k)), lambda k: k.isNotNull())
 
 
-def window_hashes(tokens: Column, width: Column) -> Column:
-    """Hashes of the hashes of ``width`` tokens in a row."""
-    last = F.size(tokens) - width + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def around(words: Column, width: int = WIDTH) -> Column:
+    """Starts of the windows that hold a capitalised word."""
+    last = F.size(words) - width
+    spread = F.transform(where(words, NAME), lambda k: F.sequence(F.greatest(k - width + 1, F.lit(0)), F.least(k, last)))
+    return F.when(last >= 0, F.array_distinct(F.flatten(spread))).otherwise(F.array().cast("array<int>"))
 
 
-def open_windows(words: Column, tokens: Column, width: int) -> Column:
-    """(at, h) of the windows that hold what may be a name, taken as a name; ``tokens`` are the hashes of the opened words."""
-    last = F.size(tokens) - width
-    places = F.filter(F.transform(words, lambda w, k: F.when(w.startswith("\u0001q"), k)), lambda k: k.isNotNull())
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda k: F.sequence(F.greatest(k - width + 1, F.lit(0)), F.least(k, last)))))
-    none = F.array().cast("array<struct<at:int,h:bigint,opened:boolean>>")
-    return F.when(last >= 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("h"), F.lit(True).alias("opened")))).otherwise(none)
+def numeric(words: Column, width: int = WIDTH, least: int = LEAST_WORDS) -> Column:
+    """Starts of the windows with fewer than ``least`` tokens besides numbers and units."""
+    need, last = width - least + 1, F.size(words) - width
 
+    def spread(places: Column) -> Column:
+        runs = F.transform(places, lambda k, j: F.struct(k.alias("a"), F.get(places, j + (need - 1)).alias("b")))
+        near = F.filter(runs, lambda r: r["b"] - r["a"] < width)
+        near = F.filter(near, lambda r: (F.greatest(r["b"] - width + 1, F.lit(0)) <= F.least(r["a"], last)))
+        return F.array_distinct(F.flatten(F.transform(near, lambda r: F.sequence(F.greatest(r["b"] - width + 1, F.lit(0)), F.least(r["a"], last)))))
 
-def slots(words: Column, at: Column, width: Column, open_: Column) -> Column:
-    """The slot values of the window that begins at ``at`` (from 0)."""
-    cut = F.slice(words, at + 1, width)
-    plain = F.filter(cut, lambda w: w.startswith("\u0001") & ~w.startswith("\u0001q"))
-    return F.when(open_, F.filter(opened(cut), lambda w: w.startswith("\u0001"))).otherwise(plain)
+    return F.when(last >= 0, let(where(words, NUMBER, UNIT), spread)).otherwise(F.array().cast("array<int>"))
 
 
-def placed_slots(words: Column, at: Column, width: Column) -> Column:
-    """The slots (place in the text, value) of the window that begins at ``at``."""
+def slots(words: Column, at: Column, form: Column, width: int = WIDTH) -> Column:
+    """The slots (place in the text, value) of the window that begins at ``at``, as the form has them."""
     placed = F.transform(F.slice(words, at + 1, width), lambda w, k: F.struct((at + k).alias("place"), w.alias("value")))
-    return F.filter(placed, lambda s: s["value"].startswith("\u0001") & ~s["value"].startswith("\u0001q"))
-
-
-def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, i_windows, i_at, h, width, i_slots) of each window of each item."""
-    items = benchmark.select("item_id", marked("text").alias("words")).withColumn("tokens", template(F.col("words"))).filter("size(tokens) > 0")
-    items = items.withColumn("width", F.least(F.lit(width), F.size("tokens")))
-    items = items.withColumn("i_windows", F.size("tokens") - F.col("width") + 1)
-    ways = F.array(F.col("words"), nameless(F.col("words")))
-    # items of one window keep names by context alone, as test_against_brute_force has it
-    ways = F.when(F.size("words") > width, F.concat(ways, F.array(opened(F.col("words"))))).otherwise(ways)
-    typed = items.withColumn("words", F.explode(ways)).withColumn("tokens", template(F.col("words"))).withColumn("hs", window_hashes(F.col("tokens"), F.col("width")))
-    rows = typed.select("item_id", "words", "width", "i_windows", F.posexplode("hs").alias("i_at", "h"))
-    return rows.select("item_id", "i_windows", "i_at", "h", "width", placed_slots(F.col("words"), F.col("i_at"), F.col("width")).alias("i_slots")).distinct()
-
-
-def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Matching windows: id, at, item_id, i_at, i_windows and the slots of both sides."""
-    facts = items.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("width")).alias("widths")).first()
-    # columns that a lambda reads are made before it and read twice, or they are made again in each of its calls
-    base = docs.select(solid_id().alias("id"), marked("text").alias("words")).withColumn("tokens", template(F.col("words"))).withColumn("names", template(opened(F.col("words"))))
-    small = facts["n"] <= MOST_BROADCAST
-    found = None
-    for w in facts["widths"] or [width]:  # WIDTH, and the lengths of shorter items
-        every = F.transform(window_hashes(F.col("tokens"), F.lit(w)), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.lit(False).alias("opened")))
-        if w == width:
-            every = F.concat(every, open_windows(F.col("words"), F.col("names"), w))
-        rows = base.select("id", "words", F.inline(every))
-        own = items.filter(F.col("width") == w).drop("width")
-        value = slots(F.col("words"), F.col("at"), F.lit(w), F.col("opened")).alias("d_slots")
-        if small:
-            # the words stay in the row that is being looked up; slots are cut out of matches alone
-            hit = rows.join(F.broadcast(own), "h").select("id", "at", "item_id", "i_at", "i_windows", "i_slots", value)
-        else:
-            hit = rows.select("id", "at", "h", value).join(own, "h").select("id", "at", "item_id", "i_at", "i_windows", "i_slots", "d_slots")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    return F.filter(placed, lambda s: s["value"].startswith("\u0001") & ((form == 1) | (form == 0) & ~s["value"].startswith(NAME)))
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_key, i_windows, i_at, h, form, i_slots, whole) of the windows of each item.
+
+    Forms: 0 numbers, 1 names, 2 literal, 3 the first tokens of a short item, of which ``whole`` has all.
+    """
+    items = benchmark.select("item_id", text_key().alias("item_key"), marked(F.col("text")).alias("words")).filter(F.size("words") >= SHORT).distinct()
+    size = F.size("words")
+    items = items.withColumns({"t0": number_form(F.col("words")), "t1": name_form(F.col("words")), "t2": literal_form(F.col("words")), "size": size})
+    left = lambda at, mark: F.size(F.filter(F.slice("words", at + 1, WIDTH), mark))
+
+    def forms(at: Column) -> Column:
+        words = left(at, lambda w: ~w.startswith("\u0001") | w.startswith(NAME))
+        bare = left(at, lambda w: ~w.startswith("\u0001"))
+        one = lambda form, tokens: F.struct(at.alias("i_at"), F.lit(form).alias("form"), hashed(tokens, at, form).alias("h"))
+        first = F.when(words >= LEAST_WORDS, one(0, F.col("t0"))).otherwise(one(2, F.col("t2")))
+        return F.when((bare >= LEAST_WORDS) & (words > bare), F.array(first, one(1, F.col("t1")))).otherwise(F.array(first))
+
+    long_ = F.flatten(F.transform(starts(F.col("size")), forms))
+    short = F.array(F.struct(F.lit(0).alias("i_at"), F.lit(3).alias("form"), hashed(F.col("t0"), F.lit(0), 3, SHORT).alias("h")))
+    rows = items.select("item_id", "item_key", "words", F.greatest(F.col("size") - WIDTH + 1, F.lit(1)).alias("i_windows"), F.inline(F.when(F.col("size") < WIDTH, short).otherwise(long_)))
+    whole = F.when(F.col("form") == 3, F.transform("words", plain))
+    return rows.select("item_id", "item_key", "i_windows", "i_at", "h", "form", slots(F.col("words"), F.col("i_at"), F.col("form")).alias("i_slots"), whole.alias("whole"))
+
+
+def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(id, text_key, begin, words): documents in blocks of ``size`` tokens, each with the first tokens of the next."""
+    base = docs.select(solid_id().alias("id"), text_key().alias("text_key"), marked(F.col("text")).alias("every"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("every") - 1, F.lit(0)), F.lit(size)), lambda k: F.struct(k.alias("begin"), F.slice("every", k + 1, size + WIDTH - 1).alias("words")))
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("every").alias("words")))
+    return base.select("id", "text_key", F.when(F.size("every") <= size + WIDTH - 1, whole).otherwise(cut).alias("cut")).select("id", "text_key", unpacked("cut", kind="begin int, words array<string>"))
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Matching windows: id, text_key, at, item_id, item_key, i_at, i_windows and the slots of both sides; ``same`` is false if a short item as a whole differs."""
+    facts = items.agg(F.count("*").alias("n"), F.collect_set("form").alias("forms")).first()
+    base = blocks(docs).withColumn("t0", number_form(F.col("words")))
+    found = lambda at, tokens, form, width=WIDTH: F.transform(at, lambda i: F.struct(i.alias("at"), hashed(tokens, i, form, width).alias("h")))
+    every = [found(starts(F.size("t0")), F.col("t0"), 0)]
+    if 1 in facts["forms"]:
+        base = base.withColumn("t1", name_form(F.col("words")))
+        every.append(F.when(F.size("t1") >= 0, found(around(F.col("words")), F.col("t1"), 1)))
+    if 2 in facts["forms"]:
+        base = base.withColumn("t2", literal_form(F.col("words")))
+        every.append(F.when(F.size("t2") >= 0, found(numeric(F.col("words")), F.col("t2"), 2)))
+    if 3 in facts["forms"]:
+        every.append(found(starts(F.size("t0"), SHORT), F.col("t0"), 3, SHORT))
+    rows = base.select("id", "text_key", "begin", "words", *(e.alias(f"e{k}") for k, e in enumerate(every))).select("id", "text_key", "begin", "words", unpacked(*(f"e{k}" for k in range(len(every))), kind="at int, h bigint"))
+    value = F.transform(slots(F.col("words"), F.col("at"), F.col("form")), lambda s: s["value"]).alias("d_slots")
+    # a filter on this would become a condition of the join, which then copies the words for every window
+    same = F.col("whole").isNull() | (F.transform(F.slice("words", F.col("at") + 1, F.greatest(F.size("whole"), F.lit(0))), plain) == F.col("whole"))
+    kept = ["id", "text_key", (F.col("begin") + F.col("at")).alias("at"), "item_id", "item_key", "i_at", "i_windows", "i_slots", value, same.alias("same")]
+    if facts["n"] <= MOST_BROADCAST:
+        # the words stay in the row that is being looked up; slots are cut out of matches alone
+        return rows.join(F.broadcast(items), "h").select(*kept)
+    cut = F.slice("words", F.col("at") + 1, WIDTH).alias("words")
+    return rows.select("id", "text_key", (F.col("begin") + F.col("at")).alias("begin"), F.lit(0).alias("at"), "h", cut).join(items, "h").select(*kept)
 
 
 def consistent(lined: DataFrame) -> DataFrame:
@@ -135,29 +209,31 @@ def consistent(lined: DataFrame) -> DataFrame:
     return sound.withColumn("windows", F.filter("windows", lambda w: F.forall(w["pairs"], holds)))
 
 
-def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
-    """One row for each contaminated document id and item: id, item_id, coverage, reparameterised."""
-    hit = matches(docs, item_windows(benchmark, width), width)
+def verdicts(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """One row for each contaminated document and item: id, text_key, item_id, coverage, reparameterised."""
+    hit = matches(docs, item_windows(benchmark))
     pairs = F.zip_with("i_slots", "d_slots", lambda i, d: F.struct(i["place"].alias("place"), i["value"].alias("i"), d.alias("d")))
-    grouped = hit.withColumn("offset", F.col("at") - F.col("i_at")).groupBy("id", "item_id", "offset")
-    lined = grouped.agg(F.max("i_windows").alias("i_windows"), F.collect_set(F.struct("i_at", pairs.alias("pairs"))).alias("windows"))
+    grouped = hit.withColumn("offset", F.col("at") - F.col("i_at")).groupBy("id", "text_key", "item_id", "item_key", "offset")
+    lined = grouped.agg(F.bool_and("same").alias("same"), F.max("i_windows").alias("i_windows"), F.collect_set(F.struct("i_at", pairs.alias("pairs"))).alias("windows")).filter("same")
     kept = consistent(lined).withColumn("covered", F.transform("windows", lambda w: w["i_at"]))
     changed = F.exists("windows", lambda w: F.exists(w["pairs"], lambda p: p["i"] != p["d"]))
-    found = kept.groupBy("id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("i_windows")).alias("coverage"), F.max(changed).alias("reparameterised"))
-    return found.filter(F.col("coverage") >= cover)
+    one = kept.groupBy("id", "text_key", "item_id", "item_key")
+    found = one.agg((F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("i_windows")).alias("coverage"), F.max(changed).alias("reparameterised"))
+    return found.filter(F.col("coverage") >= cover).drop("item_key")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (smallest), coverage (largest) and reparameterised of every row."""
-    by_doc = verdicts(docs, benchmark).groupBy("id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("coverage").alias("coverage"), F.max("reparameterised").alias("reparameterised"))
-    every = docs.select(solid_id().alias("id")).join(by_doc, "id", "left")
+    by_doc = verdicts(docs, benchmark).groupBy("id", "text_key").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("coverage").alias("coverage"), F.max("reparameterised").alias("reparameterised"))
+    every = docs.select(solid_id().alias("id"), text_key().alias("text_key")).join(few(by_doc, MOST_KEYS), ["id", "text_key"], "left")
     return every.select(plain_id("id").alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "item_id", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = verdicts(docs, benchmark).select(F.col("id").alias("contaminated_id")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == bad["contaminated_id"], "left_anti")
+    """Rows of ``docs`` that aren't contaminated, with all their columns; a row goes for its own text alone."""
+    bad = verdicts(docs, benchmark).select(F.col("id").alias("contaminated_id"), F.col("text_key").alias("contaminated_key")).distinct()
+    bad = few(bad, MOST_KEYS)
+    return docs.join(bad, (solid_id(docs["doc_id"]) == bad["contaminated_id"]) & (text_key(docs["text"]) == bad["contaminated_key"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -48,36 +48,60 @@ def test_main_path_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def brute(texts, items, width=D.WIDTH, cover=D.COVER):
-    """The same rules in plain Python: {document: {item: (coverage, reparameterised)}}."""
+def brute(texts, items, cover=D.COVER):
+    """The rules in plain Python: {document: {item: (coverage, reparameterised)}}."""
     import regex
 
     def tokens(text):
-        t = regex.sub(r"[0-9]+(?:[.,:/][0-9]+)*", " \x01n\\g<0> ", text or "")
-        t = regex.sub(rf"(\x01n\S+) +((?i:{D.UNITS}))(?![\p{{L}}\p{{N}}])", "\\1 \x01u\\2", t)
-        t = regex.sub(r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll})", "\x01p\\1", t)
-        return [w for w in regex.split(r"(?:(?<![0-9])[.,:/]|[.,:/](?![0-9])|[^\p{L}\p{N}\x01.,:/])+", t.lower()) if w]
-
-    shape = lambda w: w[:2] if w[0] == "\x01" else w
+        """(kind, lowered) with kind w, n, u or q."""
+        out = []
+        for w in regex.findall(r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+|[^\P{N}0-9]+", text or ""):
+            kind = "n" if w[0] in "0123456789" else "q" if regex.match(r"\p{Lu}\p{Ll}", w) else "u" if w.lower() in D.UNITS and out and out[-1][0] == "n" else "w"
+            out.append((kind, w.lower()))
+        return out
+
+    numbers = lambda ts: [k if k in "nu" else v for k, v in ts]
+    names = lambda ts: [k if k in "nuq" else v for k, v in ts]
+    literal = lambda ts: [v for _, v in ts]
     out = {}
     for d, text in enumerate(texts):
         a = tokens(text)
         for item, question in items:
             b = tokens(question)
-            if not b:
+            if len(b) < D.SHORT:
+                continue
+            if len(b) < D.WIDTH:
+                if any(literal(a[i : i + len(b)]) == literal(b) for i in range(len(a))):
+                    out.setdefault(d, {})[item] = (1.0, False)
                 continue
-            n = min(width, len(b))
             lines = {}
-            for i in range(len(a) - n + 1):
-                for j in range(len(b) - n + 1):
-                    if [*map(shape, a[i : i + n])] == [*map(shape, b[j : j + n])]:
-                        at, pairs = lines.setdefault(i - j, (set(), set()))
-                        at.add(j)
-                        pairs.update((y, x) for x, y in zip(a[i : i + n], b[j : j + n]) if x[0] == "\x01")
-            good = [(at, p) for at, p in lines.values() if len({x for x, _ in p}) == len(p) == len({y for _, y in p})]
-            share = len(set().union(*(at for at, _ in good))) / (len(b) - n + 1) if good else 0
-            if share >= cover:
-                out.setdefault(d, {})[item] = (share, any(x != y for _, p in good for x, y in p))
+            for j in range(len(b) - D.WIDTH + 1):
+                own = b[j : j + D.WIDTH]
+                words, bare = sum(k in "wq" for k, _ in own), sum(k == "w" for k, _ in own)
+                ways = [(numbers, "nu")] if words >= D.LEAST_WORDS else [(literal, "")]
+                if bare >= D.LEAST_WORDS:
+                    ways.append((names, "nuq"))
+                for i in range(len(a) - D.WIDTH + 1):
+                    for form, kinds in ways:
+                        if form(a[i : i + D.WIDTH]) == form(own):
+                            pairs = frozenset((j + x, q[1], p[1]) for x, (q, p) in enumerate(zip(own, a[i : i + D.WIDTH])) if q[0] in kinds)
+                            lines.setdefault(i - j, set()).add((j, pairs))
+            covered, changed = set(), False
+            for windows in lines.values():
+                votes = {p for _, pairs in windows for p in pairs}
+                met = {}
+                for _, i, v in votes:
+                    met.setdefault(i, []).append(v)
+                most = {i: [v for v in set(vs) if 2 * vs.count(v) > len(vs)] for i, vs in met.items()}
+                as_is = all(len(set(vs)) > 1 or vs[0] == i for i, vs in met.items())
+                becomes = {i: (found or ([i] if as_is and i in met[i] else [None]))[0] for i, found in most.items()}
+                if None in becomes.values():
+                    continue
+                good = [(at, pairs) for at, pairs in windows if all(becomes[i] == v for _, i, v in pairs)]
+                covered |= {at for at, _ in good}
+                changed |= any(i != v for _, pairs in good for _, i, v in pairs)
+            if len(covered) / (len(b) - D.WIDTH + 1) >= cover:
+                out.setdefault(d, {})[item] = (len(covered) / (len(b) - D.WIDTH + 1), changed)
     return out
 
 
@@ -118,3 +142,33 @@ def test_names_whatever_stands_before_them(spark):
     texts = [f"{words(1, 30)}. {x}. {words(2, 30)}" for x in texts]
     found = D.judge(documents(spark, texts), spark.createDataFrame([(1, q), (2, inside)], "item_id long, text string")).collect()
     assert {r.doc_id: (r.contaminated, r.item_id) for r in found} == {0: (True, 1), 1: (True, 1), 2: (True, 2), 3: (True, 2), 4: (False, None)}
+
+
+def test_short_items_and_lists_of_numbers(spark):
+    numbers = "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"
+    own = [(1, "42"), (2, "Yes"), (3, "Is it 7 or 9"), (4, numbers), (5, "yes no yes no")]
+    texts = ["yes, the answer is 42", f"{words(1, 20)} is it 7 or 9? {words(2, 20)}", "Is it 8 or 9", f"{words(3, 20)} {numbers}", " ".join(str(k) for k in range(200)), "Yes no yes no"]
+    found = D.judge(documents(spark, texts), spark.createDataFrame(own, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in found} == {0: None, 1: 3, 2: None, 3: 4, 4: None, 5: 5}
+    want = brute(texts, own)
+    assert {k: min(v) for k, v in want.items()} == {1: 3, 3: 4, 5: 5}
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rows = [(None, f"{words(1, 9)} {ITEM}"), (None, words(2, 30)), (None, None), (4, ITEM), (4, words(3, 30)), (4, ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = spark.createDataFrame([(1, ITEM), (1, ITEM), (1, words(77, 30)), (None, words(78, 30))], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.contaminated, r.n_items) for r in D.judge(docs, twice).collect())
+    assert got == [(0, False, 0), (0, False, 0), (0, True, 1), (4, False, 0), (4, True, 1), (4, True, 1)]
+    assert sorted((r.text or "") for r in D.keep_clean(docs, twice).collect()) == sorted(["", words(2, 30), words(3, 30)])
+
+
+def test_long_documents_go_in_blocks(spark, monkeypatch):
+    text = f"{words(1, 400)} {ITEM} {words(2, 400)}"
+    want = D.judge(documents(spark, [text]), items(spark)).collect()
+    assert want[0].contaminated and want[0].coverage == 1
+    for size in (9, 100, 411):
+        parts = D.blocks(documents(spark, [text]), size).collect()
+        assert len(parts) > 1 and all(len(p.words) < size + D.WIDTH for p in parts)
+    monkeypatch.setattr(D.blocks, "__defaults__", (50,))
+    assert D.judge(documents(spark, [text]), items(spark)).collect() == want
