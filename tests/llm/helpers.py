@@ -4,7 +4,7 @@ import random
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside.
-CLASHING = ["id", "h", "fp", "start", "n", "part", "to", "words", "tokens", "key", "score", "mix_rate", "contaminated_id", "rep", "marks", "html_"]
+CLASHING = ["id", "h", "fp", "start", "n", "part", "to", "words", "tokens", "key", "score", "mix_rate", "contaminated_id", "rep", "marks", "html_", "mix_source", "mix_order", "th", "text_key", "row", "name", "count", "law", "every"]
 
 
 def words(seed: int, n: int) -> str:
@@ -26,6 +26,11 @@ def hard_rows() -> list[tuple]:
         (9, words(3, 60), "de", None, 1),
         (9, words(3, 60), "de", None, 1),
         (None, words(4, 40), "de", "b", 2),
+        (None, words(6, 50) + " " + words(6, 50), "de", "b", 2),
+        (None, None, "en", "b", None),
+        (11, words(1, 40), "en", "b", 2),
+        (11, words(7, 45), "en", "b", 2),
+        (12, "x" * 300_000, "en", "a", 300_000),
         (-5, words(5, 30) + " " + words(5, 30), "en", "b", 2),
         (10, "été naïve 日本語 \U0001f600 x", "fr", "c", 2),
     ]

@@ -11,7 +11,7 @@ from .helpers import documents, empty, hard, words
 
 def test_poisson_inverts_the_distribution(spark):
     points = [(u, m) for m in (0.01, 0.7, 3.0, 60.0, 190.0) for u in (1e-9, 0.03, 0.5, 0.77, 0.999999)]
-    rows = spark.createDataFrame(points, "u double, mean double").select("u", "mean", M.poisson(F.col("u"), F.col("mean")).alias("k")).collect()
+    rows = spark.createDataFrame(points, "u double, mean double").withColumn("law", M.distribution(F.col("mean"))).select("u", "mean", M.poisson(F.col("u"), F.col("law")).alias("k")).collect()
     for r in rows:
         cdf = lambda k, m=r.mean: sum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(k + 1))
         assert cdf(r.k) >= r.u - 1e-12 and (r.k == 0 or cdf(r.k - 1) < r.u + 1e-12)
@@ -36,7 +36,7 @@ def test_same_result_however_it_is_dealt(spark):
 def test_hard_rows(spark):
     df = hard(spark)
     out = M.mix(df, {"a": 1.0, None: 5.0, "c": 0.0}, budget=1e6)
-    assert out.columns == [*df.drop("mix_rate").columns, "mix_rate", "mix_count", "mix_copy", "mix_order"]
+    assert out.columns == [*df.drop("mix_rate", "mix_order").columns, "mix_rate", "mix_count", "mix_copy", "mix_order"]
     rows = out.collect()
     assert {r.source for r in rows} <= {"a", None} and all(1 <= r.mix_copy <= r.mix_count for r in rows)
     assert M.mix(empty(spark)).collect() == []
@@ -48,3 +48,20 @@ def test_against_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(M.SQL).fetchall())
+
+
+def test_rows_without_an_id_are_independent(spark):
+    df = spark.createDataFrame([(None, "same text", "a")] * 400 + [(None, words(k, 9), "a") for k in range(200)], "doc_id long, text string, source string")
+    rows = M.mix(df, budget=float(20 * sum(len(t) for t in ["same text"] * 400 + [words(k, 9) for k in range(200)]))).collect()
+    assert len({r.mix_order for r in rows}) == len(rows)
+    for own in ([r for r in rows if r.text == "same text"], [r for r in rows if r.text != "same text"]):
+        counts = Counter(r.mix_count for r in own if r.mix_copy == 1)
+        assert len(counts) > 8 and abs(len(own) / sum(counts.values()) - 20) < 3
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    df = hard(spark).withColumns({c: F.lit(f"own {c}") for c in ("mix_source", "mix_rate", "mix_count", "mix_copy", "mix_order", "row", "of", "rate", "chunks", "law", "name", "count", "copy", "order")})
+    out = M.remix(df, budget=1e6)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert rows and all(r.mix_source == "own mix_source" and r.mix_order == "own mix_order" and r.law == "own law" for r in rows)
