@@ -14,8 +14,10 @@ ties).  Consecutive windows that share one minimiser occurrence form a super-k-m
    (128-bit BLAKE2 keys) resolves.  Both ways give the same result.
 3. Windows in repeated super-k-mers that aren't first are duplicates; the words they cover go.
 
-Null text counts as empty.  A text of fewer than ``WINDOW`` words keeps all words.  Rows that are
-equal in id and text are one document and all stay; a null id sorts before all others.
+Null text counts as empty.  A text of fewer than ``WINDOW`` words keeps all words.  A document is an id
+with its text: rows that are equal in both are one document and get equal results.  Rows that share an
+id (a null id too) but not the text are documents of their own, in the order of a hash of their texts;
+a null id sorts before all others.  An empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, plain_id, slices, solid_id
+from .common import as_bytes, materialize, plain_id, slices, solid_id, text_key
 
 WINDOW = 20
 #: Words in a minimiser; WINDOW - MINI + 1 is 16, a power of two, for the sliding minimum.
@@ -147,32 +149,31 @@ def marks_of(column: pa.ListArray) -> Iterator[dict[str, np.ndarray] | None]:
 def _light(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in slices(batches, "text", BLOCK):
-        ids = batch.column(0).to_numpy()
-        h, line, first, n = super_kmers([joined(t) for t in as_bytes(batch.column(1))], powers)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[line]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "start", "n"])
+        ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        h, line, first, n = super_kmers([joined(t) for t in as_bytes(batch.column(2))], powers)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[line]), pa.array(keys[line]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "th", "start", "n"])
 
 
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed strings of the marked super-k-mers; equal ones of a batch are merged to the first place."""
     for batch in slices(batches, "text"):
-        best: dict[tuple[int, bool, bytes], tuple[int, int]] = {}
-        for doc, text, marks in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), marks_of(batch.column(2)), strict=True):
+        best: dict[tuple[int, bool, bytes], tuple[int, int, int]] = {}
+        for doc, th, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), marks_of(batch.column(3)), strict=True):
             if marks is None:
                 continue
             words = Words(joined(text))
             starts, ends = words.starts, words.ends
             to = marks["start"] + marks["n"] + (WINDOW - 2)
-            fits = to < len(words)  # a row that repeats an id with another text may have marks beyond this one
-            for h, hot, start, a, b in zip(*(x[fits].tolist() for x in (marks["h"], marks["hot"], marks["start"])), starts[marks["start"][fits]].tolist(), ends[to[fits]].tolist(), strict=True):
+            for h, hot, start, a, b in zip(*(marks[x].tolist() for x in ("h", "hot", "start")), starts[marks["start"]].tolist(), ends[to].tolist(), strict=True):
                 key = (h, hot, words.line[a:b])
-                place = (doc, start)
+                place = (doc, th, start)
                 if best.get(key, place) >= place:
                     best[key] = place
         rows = list(best)
         bucket = [xxhash.xxh64_intdigest(p) - 2**63 if hot else h for h, hot, p in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()), pa.array([p[0] for p in best.values()], pa.int64()), pa.array([p[1] for p in best.values()], pa.int32())],
-            ["bucket", "hot", "packed", "id", "start"],
+            [pa.array(bucket, pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()), *(pa.array([p[k] for p in best.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32())))],
+            ["bucket", "hot", "packed", "id", "th", "start"],
         )
 
 
@@ -184,46 +185,46 @@ def windows(packed: bytes, window: int = WINDOW) -> list[bytes]:
     return [packed[starts[i] : ends[i + window - 1]] for i in range(len(ends) - window + 1)]
 
 
-def _cold(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int]]:
-    """First places of the windows of a bucket, as runs (id, start, n)."""
-    best: dict[bytes, tuple[int, int]] = {}
-    for packed, doc, start in rows:
-        if best.get(packed, (doc, start)) >= (doc, start):
-            best[packed] = (doc, start)
+def _cold(rows: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """First places of the windows of a bucket, as runs (id, text's hash, start, n)."""
+    best: dict[bytes, tuple[int, int, int]] = {}
+    for packed, *place in rows:
+        if best.get(packed, (place := tuple(place))) >= place:
+            best[packed] = place
     if len(best) == 1:
-        (packed, (doc, start)) = next(iter(best.items()))
-        return [(doc, start, packed.count(b" ") + 2 - WINDOW)]
-    seen = sorted((w, doc, start + i) for packed, (doc, start) in best.items() for i, w in enumerate(windows(packed)))
+        (packed, place) = next(iter(best.items()))
+        return [(*place, packed.count(b" ") + 2 - WINDOW)]
+    seen = sorted((w, doc, th, start + i) for packed, (doc, th, start) in best.items() for i, w in enumerate(windows(packed)))
     places = sorted(x[1:] for i, x in enumerate(seen) if not i or seen[i - 1][0] != x[0])
-    runs: list[tuple[int, int, int]] = []
-    for doc, start in places:
-        if runs and runs[-1][0] == doc and runs[-1][1] + runs[-1][2] == start:
-            runs[-1] = (doc, runs[-1][1], runs[-1][2] + 1)
+    runs: list[tuple[int, int, int, int]] = []
+    for doc, th, start in places:
+        if runs and runs[-1][:2] == (doc, th) and runs[-1][2] + runs[-1][3] == start:
+            runs[-1] = (doc, th, runs[-1][2], runs[-1][3] + 1)
         else:
-            runs.append((doc, start, 1))
+            runs.append((doc, th, start, 1))
     return runs
 
 
 def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Resolve buckets, of which the rows come together; (key, id, start, n), keys of hot windows may come again."""
-    out: list[tuple[bytes, int, int, int]] = []
+    """Resolve buckets, of which the rows come together; (key, id, th, start, n), keys of hot windows may come again."""
+    out: list[tuple[bytes, int, int, int, int]] = []
 
-    def close(hot: bool, rows: list[tuple[bytes, int, int]]) -> None:
+    def close(hot: bool, rows: list[tuple[bytes, int, int, int]]) -> None:
         if hot:
-            for packed, doc, start in rows:
-                out.extend((hashlib.blake2b(w, digest_size=16).digest(), doc, start + i, 1) for i, w in enumerate(windows(packed)))
+            for packed, doc, th, start in rows:
+                out.extend((hashlib.blake2b(w, digest_size=16).digest(), doc, th, start + i, 1) for i, w in enumerate(windows(packed)))
         else:
-            out.extend((struct.pack("<qi", doc, start), doc, start, n) for doc, start, n in _cold(rows))
+            out.extend((struct.pack("<qqi", *run[:3]), *run) for run in _cold(rows))
 
     def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["key", "id", "start", "n"])
+        made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "id", "th", "start", "n"])
         out.clear()
         return made
 
     now: tuple[int, bool] | None = None
-    rows: list[tuple[bytes, int, int]] = []
+    rows: list[tuple[bytes, int, int, int]] = []
     for batch in batches:
-        for bucket, hot, packed, doc, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, hot, packed, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (bucket, hot) != now:
                 if now is not None:
                     close(now[1], rows)
@@ -232,13 +233,13 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield flush()
             # sorted by bucket, hot, packed: of equal strings only the first place is held
             if rows and rows[-1][0] == packed:
-                if (doc, start) < rows[-1][1:]:
-                    rows[-1] = (packed, doc, start)
+                if tuple(place) < rows[-1][1:]:
+                    rows[-1] = (packed, *place)
             else:
                 if hot and rows:
                     close(True, rows)
                     rows = []
-                rows.append((packed, doc, start))
+                rows.append((packed, *place))
     if now is not None:
         close(now[1], rows)
     yield flush()
@@ -280,19 +281,19 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each document (joined by one space)."""
-    base = docs.select(solid_id().alias("id"), "text")
-    light = base.mapInArrow(_light, "h long, id long, start int, n int")
+    base = docs.select(solid_id().alias("id"), text_key().alias("th"), "text")
+    light = base.mapInArrow(_light, "h long, id long, th long, start int, n int")
     # the flipped hash keeps the join's own shuffle apart from the count's, so that AQE can split a frequent one
     again = light.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select(F.bitwise_not("h").alias("flip"), "c")
-    marks = materialize(light.withColumn("flip", F.bitwise_not("h")).join(again, "flip").select("id", "start", "n", "h", (F.col("c") > hot).alias("hot")))
-    grouped = marks.groupBy("id").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("marks"))
-    packed = base.join(grouped, "id").select("id", "text", "marks").mapInArrow(_pack, "bucket long, hot boolean, packed binary, id long, start int")
+    marks = materialize(light.withColumn("flip", F.bitwise_not("h")).join(again, "flip").select("id", "th", "start", "n", "h", (F.col("c") > hot).alias("hot")))
+    grouped = marks.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("marks"))
+    packed = base.join(grouped, ["id", "th"]).select("id", "th", "text", "marks").mapInArrow(_pack, "bucket long, hot boolean, packed binary, id long, th long, start int")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "hot", "packed")
-    found = dealt.mapInArrow(_buckets, "key binary, id long, start int, n int")
-    first = found.groupBy("key").agg(F.min(F.struct("id", "start", "n")).alias("f")).select("f.*", F.lit(True).alias("first"))
-    every = marks.select("id", "start", "n", F.lit(False).alias("first")).unionByName(first)
-    spans = every.groupBy("id").agg(F.collect_list(F.struct("start", "n", "first")).alias("marks"))
-    out = base.join(spans, "id", "left").select("id", "text", "marks").mapInArrow(_finish, "id long, n_words long, n_removed long, kept string")
+    found = dealt.mapInArrow(_buckets, "key binary, id long, th long, start int, n int")
+    first = found.groupBy("key").agg(F.min(F.struct("id", "th", "start", "n")).alias("f")).select("f.*", F.lit(True).alias("first"))
+    every = marks.select("id", "th", "start", "n", F.lit(False).alias("first")).unionByName(first)
+    spans = every.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "first")).alias("marks"))
+    out = base.join(spans, ["id", "th"], "left").select("id", "text", "marks").mapInArrow(_finish, "id long, n_words long, n_removed long, kept string")
     return out.select(plain_id("id").alias("doc_id"), "n_words", "n_removed", "kept")
 
 

@@ -7,15 +7,15 @@ from placeforge.llm import substring_dedup as S
 from .helpers import documents, empty, hard, hard_rows, words
 
 
-def brute(rows):
-    """(id, words, removed, kept) in falling precedence of smaller id."""
+def brute(rows, text_hash=lambda t: 0):
+    """(id, words, removed, kept) in falling precedence of smaller id, then smaller hash of the text."""
     first, out = {}, []
-    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]))):
         w = (text or "").encode().split()
         gone = [False] * len(w)
         for i in range(len(w) - S.WINDOW + 1):
             window = tuple(w[i : i + S.WINDOW])
-            place = (key, i)
+            place = (key, text, i)
             if first.setdefault(window, place) != place:
                 gone[i : i + S.WINDOW] = [True] * S.WINDOW
         out.append((key, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
@@ -40,10 +40,20 @@ def test_against_brute_force(spark, hot):
 
 def test_hard_rows(spark):
     rows = hard_rows()
-    assert ordered(run(hard(spark))) == ordered(brute([(r[0], r[1]) for r in rows]))
+    hashes = {r.text: r.h for r in hard(spark).selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert ordered(run(hard(spark))) == ordered(brute([(r[0], r[1]) for r in rows], hashes.get))
     assert run(empty(spark)) == []
 
 
+def test_rows_that_share_an_id(spark):
+    x, y = words(60, 30), words(61, 30)
+    rows = [(3, f"{x} {x}"), (3, y), (4, y), (None, f"{y} {y}"), (None, x), (9, f"{x} {words(62, 22)}"), (9, words(62, 22)), (9, words(62, 22))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    for hot in (1000, 1):
+        assert ordered(run(df, hot=hot)) == ordered(brute(rows, hashes.get))
+
+
 def test_query_digest(spark, tmp_path):
     documents(spark, [words(1, 30), words(1, 30)]).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in S.query(spark, str(tmp_path)).collect()}
