@@ -6,7 +6,12 @@ again only from the last boundary CONTEXT characters before it to the first old
 which old and new splitting agree, and updates the sums on the way up.  The pattern looks ahead two
 characters at most and never back, so from that boundary on all pre-tokens are the old ones.
 
+:func:`trees` makes a table of the trees, and :func:`edit_trees` edits such a table: what it keeps is
+neither split nor encoded again.  :func:`count_edits` does both at once.
+
 A null text counts as empty.  Null edits are none; an edit's position and length are clipped to the text.
+Rows are independent: null and repeated ids give a row each, other columns don't matter, an empty
+table gives an empty table.  A very long text is held once with its tree by the task that counts it.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokenizer import CACHE, PATTERN, VOCABULARY, encoding, ship
+from .tokenizer import CACHE, LONGEST, PATTERN, VOCABULARY, encoding, ship
 
 LEAF, CONTEXT = 32, 3
 SPLIT = regex.compile(PATTERN)
@@ -27,15 +32,17 @@ EDITS = "array<struct<pos:int,deleted:int,inserted:string>>"
 
 
 class Counts(dict):
-    """Tokens of a pre-token, remembered up to a bound."""
+    """Tokens of a pre-token, remembered up to a bound of short ones."""
 
     def __init__(self, vocabulary: bytes):
         self.encode = encoding(vocabulary).encode_ordinary
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[piece] = len(self.encode(piece))
+        n = len(self.encode(piece))
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = n
         return n
 
 
@@ -46,9 +53,32 @@ class Tree:
         self.counts, self.encoded = counts, 0
         self.grow(SPLIT.findall(text))
 
+    @classmethod
+    def kept(cls, leaves: list[dict], counts: Counts) -> Tree:
+        """The tree of :meth:`stored` leaves."""
+        tree = cls.__new__(cls)
+        tree.counts, tree.encoded, tree.leaves = counts, 0, []
+        for leaf in leaves:
+            at, pieces = 0, []
+            for size, n in zip(leaf["sizes"], leaf["tokens"], strict=True):
+                pieces.append(leaf["text"][at : at + size])
+                at += size
+                if size <= LONGEST and len(counts) < CACHE:
+                    counts.setdefault(pieces[-1], n)
+            tree.leaves.append(pieces)
+        tree.sum_up([(len(leaf["text"]), len(leaf["sizes"]), sum(leaf["tokens"])) for leaf in leaves])
+        return tree
+
+    def stored(self) -> list[dict]:
+        """The leaves: text, and characters and tokens of each pre-token."""
+        return [{"text": "".join(leaf), "sizes": [len(p) for p in leaf], "tokens": [self.counts[p] for p in leaf]} for leaf in self.leaves]
+
     def grow(self, pieces: list[str]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.levels = [[self.sums(leaf) for leaf in self.leaves]]
+        self.sum_up([self.sums(leaf) for leaf in self.leaves])
+
+    def sum_up(self, leaves: list[tuple[int, int, int]]) -> None:
+        self.levels = [leaves]
         while len(self.levels[-1]) > 1:
             last = self.levels[-1]
             self.levels.append([self.add(last[i : i + 2]) for i in range(0, len(last), 2)])
@@ -160,6 +190,46 @@ def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str = VOCABUL
     return docs.select(F.col("doc_id").cast("long"), "text", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
 
 
+STORED = "array<struct<text:string,sizes:array<int>,tokens:array<int>>>"
+LEAVES = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]))
+KEPT = f"doc_id long, n_chars long, n_pretokens long, n_tokens long, n_encoded long, leaves {STORED}"
+
+
+def _table(shipped, batches: Iterable[pa.RecordBatch], column: str | None, make) -> Iterator[pa.RecordBatch]:
+    """Rows as KEPT of the trees that ``make`` gives for a row."""
+    counts = Counts(shipped.value)
+    for batch in batches if column is None else slices(batches, column):
+        out = []
+        for doc, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tree = make(counts, *row)
+            out.append((doc, *tree.total, tree.encoded, tree.stored()))
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in range(5)), pa.array([r[5] for r in out], LEAVES)], ["doc_id", "n_chars", "n_pretokens", "n_tokens", "n_encoded", "leaves"])
+
+
+def trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The tree of each row as a table to keep: doc_id, n_chars, n_pretokens, n_tokens, n_encoded (0) and the leaves."""
+    shipped = ship(docs.sparkSession, vocabulary)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _table(shipped, batches, "text", lambda counts, text: Tree(text or "", counts)), KEPT)
+
+
+def edit_trees(kept: DataFrame, edits: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
+    """A table of :func:`trees` after the edits of each row; n_encoded is how many pre-tokens they encoded."""
+    shipped = ship(kept.sparkSession, vocabulary)
+
+    def change(counts: Counts, leaves: list[dict], changes: list[dict] | None) -> Tree:
+        tree = Tree.kept(leaves, counts)
+        for e in changes or []:
+            if e is not None:
+                tree.edit(e["pos"] or 0, e["deleted"] or 0, e["inserted"] or "")
+        return tree
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = (batch.slice(k, 64) for batch in batches for k in range(0, batch.num_rows, 64))
+        return _table(shipped, few, None, change)
+
+    return kept.select("doc_id", "leaves", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, KEPT)
+
+
 NAMES = ["doc_id", "n_chars", "n_pretokens", "n_tokens", "n_chars_edited", "n_pretokens_edited", "n_tokens_edited", "n_encoded"]
 
 

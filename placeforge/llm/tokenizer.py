@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Strings that a worker remembers the encoding of.
-CACHE = 300_000
+#: Strings that a worker remembers the encoding of, and how long these are at most: 300 000 of them take under 100 MB.
+CACHE, LONGEST = 300_000, 64
 
 
 def ship(spark: SparkSession, path: str = VOCABULARY):
@@ -39,9 +39,12 @@ class Encoder(dict):
         self.type = np.dtype("<u2" if self.plain.n_vocab < 2**16 else "<u4")
 
     def __missing__(self, word: str) -> bytes | None:
+        made = self.raw(" " + word) if word and not word[0].isspace() else None
+        if len(word) > LONGEST:
+            return made
         if len(self) >= CACHE:
             self.clear()
-        self[word] = made = self.raw(" " + word) if word and not word[0].isspace() else None
+        self[word] = made
         return made
 
     def raw(self, text: str) -> bytes:

@@ -43,14 +43,39 @@ def test_hard_rows(spark):
     edits = F.array(F.struct(F.lit(3).alias("pos"), F.lit(2).alias("deleted"), F.lit(" in ").alias("inserted")), F.lit(None))
     rows = T.count_edits(hard(spark).withColumn("edits", F.when(F.col("doc_id") != 7, edits))).collect()
     assert len(rows) == len(hard_rows())
-    texts = {i: t or "" for i, t, *_ in hard_rows()}
-    for r in rows:
-        t = texts[r.doc_id]
-        changed = t if r.doc_id in (7, None) else t[:3] + " in " + t[5:]
-        assert (r.n_chars, r.n_tokens, r.n_tokens_edited) == (len(t), len(plain(t)), len(plain(changed)))
+    want = []
+    for i, t, *_ in hard_rows():
+        t = t or ""
+        changed = t if i in (7, None) else t[:3] + " in " + t[5:]
+        want.append((i or 0, len(t), len(plain(t)), len(plain(changed))))
+    assert sorted((r.doc_id or 0, r.n_chars, r.n_tokens, r.n_tokens_edited) for r in rows) == sorted(want)
     assert T.count_edits(empty(spark).withColumn("edits", edits)).collect() == []
 
 
 def test_query(spark, tmp_path):
     documents(spark, [words(1, 200), None, "x"]).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in T.query(spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+def test_kept_trees(spark, tmp_path):
+    """Trees written, read again and edited twice give the counts of the edited texts, and encode little."""
+    long_ = words(21, 6000)
+    texts = [long_, "", None, "a b", " x" * 90_000, "y" * 100_000]
+    T.trees(documents(spark, texts)).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    edits = "array(struct(3 AS pos, 2 AS deleted, 'new word' AS inserted), null, struct(20 AS pos, 0 AS deleted, ' end' AS inserted))"
+    once = T.edit_trees(kept.withColumn("edits", F.expr(edits)))
+    once.write.parquet(f"{tmp_path}/once")
+    twice = {r.doc_id: r for r in T.edit_trees(spark.read.parquet(f"{tmp_path}/once").withColumn("edits", F.expr(edits))).collect()}
+
+    def changed(t):
+        for pos, n, new in ((3, 2, "new word"), (20, 0, " end")):
+            t = t[:pos] + new + t[pos + n :]
+        return t
+
+    want = [changed(changed(t or "")) for t in texts]
+    fresh = {r.doc_id: r for r in T.trees(documents(spark, want)).collect()}
+    for k, t in enumerate(want):
+        assert "".join(leaf.text for leaf in twice[k].leaves) == t
+        assert [twice[k][c] for c in ("n_chars", "n_pretokens", "n_tokens")] == [fresh[k][c] for c in ("n_chars", "n_pretokens", "n_tokens")]
+    assert twice[0].n_encoded < 40 and T.trees(empty(spark)).collect() == []
