@@ -10,9 +10,12 @@ words before it.  The weight is the log odds.  A two-word phrase around
 an entry that only clean texts have is an exception and covers the hit.  The score is a logistic
 function of the summed weights, alone and per hundred words.
 
-The classifier is fitted on at most ``most`` labelled rows (a bounded sample by a hash of the id);
-equal texts count once.  Null and empty texts have no hit and get the score of no hit.  Without
-labels of both kinds the lexicon is empty and every score is 0.
+The classifier is fitted on about ``most`` labelled rows at most (a bounded sample by a hash of the
+id), which bounds all that is learned.  Of repeated labels the larger counts; of documents that share
+a labelled id the one whose text has the smallest hash; equal texts count once; null ids have no label.
+Null and empty texts have no hit and get the score of no hit.  Without labels of both kinds the lexicon
+is empty and every score is 0; a score of one half is label 1.  Equal texts get equal scores; rows with
+null or repeated ids are rows like others, other columns pass through, an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ from .common import crc_mod, slices, table
 MOST_ROWS = 20_000
 LEAST_G2, LEAST_PRECISION, STEM = 20.0, 0.95, (3, 12)
 LEAST_CONTEXTS = 2.0
-#: Entries at most.
-MOST_STEMS = 20_000
 
 LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһԛԝвмнткαεικνορτυχ", "aeopcyxijsdhqwbmhtkaeiknoptux")
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -215,22 +216,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Lexicon:
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     # at most about ``most`` rows of two numbers: safe to broadcast
-    sample = docs.select(F.col("doc_id").cast("long"), "text").filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic").persist()
+    joined = docs.select(F.col("doc_id").cast("long"), "text").filter("text IS NOT NULL").join(F.broadcast(known), "doc_id")
+    one = joined.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = one.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic").persist()
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         pos, neg = sizes.get(1, 0), sizes.get(0, 0)
         if not pos or not neg:
             return Lexicon()
         found = sample.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        found = found.filter(f"pos >= 3 AND pos >= 0.5 * (pos + neg)").orderBy(F.desc("pos"), "stem").limit(10 * MOST_STEMS)
-        stems = choose({r.stem: (r.pos, r.neg) for r in found.collect()}, pos, neg)
-        lexicon = Lexicon(dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:MOST_STEMS]))
+        # an extension of an entry that has nearly all its texts is nearly as precise as the entry
+        found = found.filter(F.expr(f"pos >= 3 AND pos >= {LEAST_PRECISION - 0.06} * (pos + neg)"))
+        lexicon = Lexicon(choose({r.stem: (r.pos, r.neg) for r in found.collect()}, pos, neg))
         behind = sample.filter("toxic = 1").select("text").mapInArrow(_count_contexts(lexicon), "stem string, context string, n long").groupBy("stem", "context").agg(F.sum("n").alias("n"))
         spread = behind.groupBy("stem").agg((F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("contexts"))
         wide = {r.stem for r in spread.filter(F.col("contexts") >= LEAST_CONTEXTS).collect()}
         lexicon = Lexicon({k: w for k, w in lexicon.stems.items() if k in wide})
         clean = sample.mapInArrow(_count_phrases(lexicon), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("neg >= 3 AND pos = 0")
-        lexicon.exceptions = frozenset(r.phrase for r in clean.orderBy(F.desc("neg"), "phrase").limit(MOST_STEMS).collect())
+        lexicon.exceptions = frozenset(r.phrase for r in clean.collect())
         rows = sample.mapInArrow(_weigh_all(lexicon, ["toxic"]), "toxic int, weight double, words double, score double").collect()
         lexicon.curve = fit_curve(features(np.array([r.weight for r in rows]), np.array([r.words for r in rows])), np.array([r.toxic for r in rows], np.float64))
         return lexicon
