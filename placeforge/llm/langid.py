@@ -6,8 +6,12 @@ profile sums, over the text's n-grams, how far each rank is out of place; an n-g
 language lacks costs TOP.  The language with the smallest distance wins (then the smaller name).
 The score is the relative lead before the second language, 1 if there is only one.
 
-Profiles are fitted on at most about ``most`` labelled rows (a bounded sample by a hash of the id).
-A null text or one without a letter is ``und`` with score 0, as is every text if no language is known.
+Profiles are fitted on about ``most`` labelled rows at most (a bounded sample by a hash of id and text),
+dealt evenly to the languages, so that a language with few rows keeps them all; there are ``top`` numbers
+a language, however many documents.  A null text or one without a letter is ``und`` with score 0, as is
+every text if no language is known.  Of equally frequent n-grams the smaller code comes first, of equally
+near languages the smaller name.  Rows are independent: null and repeated ids give a row each, other
+columns don't matter, an empty table gives an empty table.  A long text is counted in blocks of BLOCK.
 """
 
 from __future__ import annotations
@@ -19,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, materialize, slices, table
 
 #: N-grams in a profile.
 TOP = 400
 #: Labelled rows that the profiles are fitted on, about.
 MOST_ROWS = 12_000
+#: Languages up to which their shares are broadcast, and rows that each may have at least.
+MOST_LANGUAGES, LEAST_ROWS = 10_000, 50
+#: Code points that are counted at once.
+BLOCK = 1 << 20
 NONE = "und"
 
 
@@ -34,29 +42,53 @@ class Letters:
     def __init__(self):
         self.table = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
 
+    def marked(self, text: str) -> np.ndarray:
+        """Code points, 32 for what isn't a letter."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self.table[np.minimum(c, 0x2FFFF)]
+        far = np.flatnonzero(c >= 0x30000)
+        if len(far):
+            letter[far] = [chr(x).isalpha() for x in c[far].tolist()]
+        return np.where(letter, c, 32).astype(np.uint64)
+
     def codes(self, text: str) -> np.ndarray:
         """Code points with each run of other characters as one 32, also at both ends; empty without a letter."""
-        c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = self.table[np.minimum(c, 0x2FFFF)]
-        if not letter.any():
-            return np.zeros(0, np.uint64)
-        c = np.where(letter, c, 32)
-        c = np.concatenate(([32], c, [32])).astype(np.uint64)
-        gap = c == 32
-        return c[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
-
-
-def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of one to three code points and their counts; a lone space is none."""
-    if len(c) < 3:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    one, s = c[c != 32], np.uint64(21)
+        c = self.marked(text.lower())
+        return runs(np.concatenate(([32], c, [32])).astype(np.uint64)) if (c != 32).any() else np.zeros(0, np.uint64)
+
+    def counts(self, text: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """As ``grams(codes(text))``, in blocks."""
+        if len(text) <= block:
+            return grams(self.codes(text))
+        text = text.lower()
+        kept, sums = np.array([32], np.uint64), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for at in range(0, len(text) + 1, block):
+            own = self.marked(text[at : at + block]) if at < len(text) else np.zeros(0, np.uint64)
+            end = [32] if at + block > len(text) else []
+            c = runs(np.concatenate((kept, own, end)).astype(np.uint64))
+            found = grams(c, len(kept))
+            codes, to = np.unique(np.concatenate((sums[0], found[0])), return_inverse=True)
+            sums = codes, np.bincount(to, np.concatenate((sums[1], found[1])), len(codes)).astype(np.int64)
+            kept = c[-2:]
+        return sums
+
+
+def runs(c: np.ndarray) -> np.ndarray:
+    """The codes with each run of 32 as one."""
+    gap = c == 32
+    return c[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
+
+
+def grams(c: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one to three code points that end beyond the first ``known``, and their counts; a lone space is none."""
+    s = np.uint64(21)
+    one = c[known:]
     two = (c[:-1] << s) | c[1:]
     three = (two[:-1] << s) | c[2:]
-    three = three[c[1:-1] != 32]
-    every = np.concatenate((one, two, three))
+    three = three[max(known - 2, 0) :][c[1:-1][max(known - 2, 0) :] != 32]
+    every = np.concatenate((one[one != 32], two[max(known - 1, 0) :], three))
     every.sort()
-    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
     return every[at], np.diff(np.append(at, len(every)))
 
 
@@ -80,10 +112,10 @@ class Ranks:
             self.rank[np.searchsorted(self.codes, np.array(profiles[name], np.uint64)), k] = np.arange(len(profiles[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        c = self.letters.codes(text) if text and self.names else ()
-        if not len(c):
+        found = self.letters.counts(text) if text and self.names else ((), ())
+        if not len(found[0]):
             return NONE, 0.0
-        own = profile(*grams(c), self.top)
+        own = profile(*found, self.top)
         at = np.searchsorted(self.codes, own)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != own)] = len(self.codes)
         rank = self.rank[at]
@@ -100,7 +132,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sums: dict[str, list] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums.setdefault(lang, []).append(grams(letters.codes(text)))
+            sums.setdefault(lang, []).append(letters.counts(text))
         for lang, found in sums.items():
             codes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([f[1] for f in found]), len(codes)).astype(np.int64)
@@ -109,10 +141,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, most: int = MOST_ROWS, top: int = TOP) -> dict[str, list[int]]:
     """Profiles by language, from labelled rows outside the held-out fold."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    n = known.select("lang").count()
-    if n > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    sizes = materialize(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    names = sizes.count()
+    share = F.least(F.lit(1.0), F.lit(max(LEAST_ROWS, most / max(names, 1))) / F.col("n"))
+    shares = sizes.select("of", (share * 1_000_000).alias("share"))
+    known = known.join(F.broadcast(shares) if names <= MOST_LANGUAGES else shares, F.col("lang") == F.col("of"))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share"))
     counts = known.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).orderBy("lang", "rank").collect()

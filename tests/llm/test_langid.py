@@ -50,7 +50,38 @@ def test_hard_rows(spark):
     rows = L.identify(hard(spark), profiles).collect()
     assert len(rows) == len(hard_rows())
     by = {r.doc_id: r for r in rows}
+    assert sum(r.lang_pred == "und" for r in rows) == 5
     assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in (4, 5, 6, 7))
     assert L.learn(empty(spark)) == {} and L.identify(empty(spark), {}).collect() == []
     assert {r.lang_pred for r in L.identify(hard(spark), {}).collect()} == {"und"}
     assert {r.lang_pred for r in L.identify(hard(spark), {"en": profiles["en"]}).collect()} == {"und", "en"}
+
+
+def test_distances_against_brute_force():
+    """Rank by rank, without tables."""
+    profiles, letters = {}, L.Letters()
+    for lang in ("en", "de", "fr"):
+        profiles[lang] = L.profile(*letters.counts(text(lang, 1, 400))).tolist()
+    ranks = L.Ranks(profiles)
+    for k in range(60):
+        sample = text(["en", "de", "fr"][k % 3], 100 + k, 1 + k % 30)
+        counts = dict(zip(*(x.tolist() for x in L.grams(letters.codes(sample))), strict=True))
+        own = sorted(counts, key=lambda g: (-counts[g], g))[: L.TOP]
+        far = {lang: sum(abs(p.index(g) - i) if g in p else L.TOP for i, g in enumerate(own)) for lang, p in profiles.items()}
+        first, second = sorted(far, key=lambda lang: (far[lang], lang))[:2]
+        assert ranks.predict(sample) == (first, (far[second] - far[first]) / far[second])
+
+
+def test_counting_in_blocks():
+    letters = L.Letters()
+    for sample in ("Ein Haus, das  steht!! 12 ß", "  a", "a b", "x" * 50, "1 2 3", "", "\U00030000\U00031350 far letters", " , ,a, ,b"):
+        whole = L.grams(letters.codes(sample))
+        for block in (1, 2, 3, 7):
+            assert [x.tolist() for x in letters.counts(sample, block)] == [x.tolist() for x in whole]
+    assert len(letters.codes("\U00030000\U00031350")) == 4
+
+
+def test_rare_languages_keep_their_rows(spark):
+    rows = [(i, text("en", i, 9), "en", "a", 1) for i in range(900)] + [(None, text("fr", i, 9), "fr", "a", 1) for i in range(900)] + [(2001, text("de", 1, 30), "de", "a", 1)]
+    made = L.learn(spark.createDataFrame(rows, COLUMNS), most=60)
+    assert set(made) == {"en", "fr", "de"} and len(made["de"]) > 20 and len(made["fr"]) > 20
