@@ -8,23 +8,32 @@ hexadecimal, joined by one space; likeness is the Jaccard index of the sets of h
 
 Edited texts: the last half of a text is replaced by the beginning of the next document's (falling
 doc_id; after the last comes the first).  Documents are dealt once, by ranges of doc_id; the first
-document of a range is also sent to the range before it, so no text is looked up elsewhere.
-Null text counts as empty.  Rows of equal id follow each other by text; a null id is the smallest.
+document of a range is also sent to the range before it, so no text is looked up elsewhere.  An id with
+more rows than a range holds is split by a hash of the text.
+
+Null text counts as empty.  Rows of equal id follow each other by a hash of their texts, then by text;
+a null id is the smallest; rows equal in both are alike and stay in one range.  A single row is its own
+next document.  An empty table gives an empty table, other columns don't matter.  A very long text is
+hashed in blocks of BLOCK; of two equal hashes in a window the rightmost counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_id, slices, solid_id, table
+from .common import plain_id, slices, solid_id, table, text_key
 
-GRAM, WINDOW = 16, 48
+GRAM, WINDOW = 8, 16
+#: Code points that are hashed at once.
+BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -71,9 +80,22 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
     return (key >> np.uint64(32)).astype(np.uint32), (low - (key & low)).astype(np.int64)
 
 
+def entries(text: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen (hashes, positions) of a text, in blocks that overlap by a window."""
+    if len(text) <= block + GRAM + WINDOW:
+        return winnow(gram_hashes(text))
+    found = []
+    for begin in range(0, len(text) - GRAM - WINDOW + 2, block):
+        h, at = winnow(gram_hashes(text[begin : begin + block + GRAM + WINDOW - 2]))
+        at = at + begin
+        new = at > (found[-1][1][-1] if found else -1)
+        found.append((h[new], at[new]) if new.any() else found.pop())
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
 def fingerprint(text: str) -> tuple[str, np.ndarray]:
     """The string, and the sorted distinct hashes."""
-    h, at = winnow(gram_hashes(text))
+    h, at = entries(text)
     return " ".join(["%08x.%x" % x for x in zip(h.tolist(), at.tolist(), strict=True)]), np.unique(h)
 
 
@@ -112,38 +134,51 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(COLUMNS.values())], list(COLUMNS))
 
 
-def place(column, bounds: list[int]):
-    """How many of the sorted ``bounds`` the value is below or at; two short searches."""
+def constant(value: list, kind: str) -> Column:
+    """A list as one literal, however long it is."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def place(column: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` the value is at or above; two short searches."""
     step = max(1, int(len(bounds) ** 0.5))
-    heads = bounds[::step]
-    groups = F.array(*(F.array(*(F.lit(b) for b in bounds[i : i + step])) for i in range(0, len(bounds), step)))
-    g = F.size(F.filter(F.array(*(F.lit(h) for h in heads)), lambda h: h <= column))
+    groups = constant([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
+    g = F.size(F.filter(constant(bounds[::step], "array<bigint>"), lambda h: h <= column))
     inside = F.size(F.filter(F.element_at(groups, F.greatest(g, F.lit(1))), lambda b: b <= column))
     return F.when(g == 0, F.lit(0)).otherwise((g - 1) * step + inside)
 
 
+#: Ranges that one id may be split into.
+SPLIT = 1 << 20
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(range, ghost, id, text), each range with the first row of the next; ranges fall by doc_id."""
-    base = docs.select(solid_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(part, ghost, id, th, text), each part with the first row of the next; parts fall by doc_id, then rise by the text's hash."""
+    base = docs.select(solid_id().alias("id"), F.shiftrightunsigned(text_key(), 1).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     # four ranges for each shuffle partition, so that dealing them by hash comes out even
     parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = base.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(cuts))
-    part = place(F.col("id"), bounds) if bounds else F.lit(0)
-    heads = base.select("id").groupBy(part.alias("part")).agg(F.max("id").alias("head")).orderBy(F.desc("part")).collect()
+    bounds, hot = sorted(set(cuts)), {k: min(n, SPLIT - 1) for k, n in Counter(cuts).items() if n > 1}
+    # numbered so that they rise in the order of the rows: SPLIT numbers for a range, the first for what lies above its bound
+    part = (F.lit(len(bounds)) - (place(F.col("id"), bounds) if bounds else F.lit(0))).cast("long") * SPLIT
+    if hot:
+        pieces = F.element_at(F.from_json(F.lit(json.dumps({str(k): n for k, n in hot.items()})), "map<string,int>"), F.col("id").cast("string"))
+        part = part + F.coalesce(F.floor(F.col("th") / F.lit(2.0**63) * F.try_add(pieces, F.lit(0))).cast("long") + 1, F.lit(0))
+    dealt = base.withColumn("part", part)
+    heads = dealt.groupBy("part").agg(F.max(F.struct("id", (-F.col("th")).alias("th"))).alias("head")).orderBy("part").collect()
     if not heads:
-        return base.select(F.lit(0).alias("part"), F.lit(False).alias("ghost"), "id", "text")
-    # one number for each range: the head of a range also goes to the range before it, in a circle
-    to = [(r.head, heads[i - 1].part) for i, r in enumerate(heads)]
-    ghosts = docs.sparkSession.createDataFrame(to, "head long, to int")
-    own = base.withColumn("part", part.cast("int")).join(F.broadcast(ghosts), F.col("id") == F.col("head"), "left")
+        return base.select(F.lit(0).cast("long").alias("part"), F.lit(False).alias("ghost"), "id", "th", "text")
+    # three numbers for each part: the head of a part also goes to the part before it, in a circle
+    to = [(r.head.id, -r.head.th, heads[i - 1].part) for i, r in enumerate(heads)]
+    ghosts = docs.sparkSession.createDataFrame(to, "head long, head_th long, to long")
+    own = dealt.join(F.broadcast(ghosts), (F.col("id") == F.col("head")) & (F.col("th") == F.col("head_th")), "left")
     here = F.struct("part", F.lit(False).alias("ghost"))
     both = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("to").alias("part"), F.lit(True).alias("ghost"))))
-    return own.select(F.inline(both), "id", "text")
+    return own.select(F.inline(both), "id", "th", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    dealt = neighbours(docs).repartition("part").sortWithinPartitions("part", "ghost", F.desc("id"), "text")
+    dealt = neighbours(docs).repartition("part").sortWithinPartitions("part", "ghost", F.desc("id"), "th", "text")
     return dealt.select("part", "ghost", "id", "text").mapInArrow(_walk, SCHEMA)
 
 

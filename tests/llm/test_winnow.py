@@ -51,8 +51,36 @@ def test_against_brute_force(spark, tmp_path):
 
 def test_hard_rows(spark, tmp_path):
     hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = [(i, t or "") for i, t, *_ in hard_rows()]
-    check(N.query(spark, str(tmp_path)).collect(), sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1])))
+    rows = [(i, t or "", r.h) for (i, t, *_), r in zip(hard_rows(), hard(spark).selectExpr("shiftrightunsigned(xxhash64(text), 1) AS h").collect(), strict=True)]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
+    check(N.query(spark, str(tmp_path)).collect(), [r[:2] for r in rows])
     assert N.fingerprints(empty(spark)).collect() == []
     one = N.fingerprints(documents(spark, ["only one text"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_an_id_with_most_rows_is_split(spark):
+    rows = [(None, words(k, 12)) for k in range(150)] + [(7, words(200 + k, 12)) for k in range(150)] + [(k, words(400 + k, 12)) for k in range(1, 40)] + [(7, words(200, 12))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = N.neighbours(df).filter("NOT ghost")
+    assert dealt.groupBy("part").count().agg({"count": "max"}).first()[0] < 60
+    order = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "shiftrightunsigned(xxhash64(text), 1) AS h").collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), order[r], r[1]))
+    found = [tuple(r) for r in N.fingerprints(df).collect()]
+    check([(None if r[0] == N.solid_id.__globals__["NULL_ID"] else r[0], *r[1:]) for r in found], rows)
+
+
+def test_entries_in_blocks():
+    r = random.Random(9)
+    for n in (0, 5, 30, 100, 700):
+        text = "".join(r.choice("ab ") for _ in range(n))
+        h, at = N.winnow(N.gram_hashes(text))
+        for block in (1, 17, 64, 300):
+            got = N.entries(text, block)
+            assert got[0].tolist() == h.tolist() and got[1].tolist() == at.tolist()
+
+
+def test_a_short_text_that_keeps_half_shares_an_entry():
+    for k in range(60):
+        text = words(k, 40)[: 46 + k]
+        assert N.likeness(N.fingerprint(text)[1], N.fingerprint(N.edited(text, words(100 + k, 60)))[1]) > 0
