@@ -8,7 +8,10 @@ capacities finds that row.  No shuffle is needed, and a task holds one chunk.
 A row has its ids and positions as little-endian binary (``bits`` wide; positions start at 0 in every
 segment), the cumulative segment lengths, and for each segment the document and where in it the
 segment begins.  Room at the end is filled with the end id and belongs to no segment.
-A null or empty text is a segment of the end id alone.  Rows of a document that comes again are separate.
+A null or empty text is a segment of the end id alone.  Rows are independent: a null or repeated id gives
+segments of its own for each row; other columns don't matter; an empty table gives no row.  Pieces of
+equal length are packed in the order of the input, into the row opened last among equally full ones.  A
+very long text is encoded as a whole by one task, and its pieces make a chunk of their own.
 """
 
 from __future__ import annotations

@@ -12,11 +12,14 @@ all of them: in that table the two fingerprints have equal keys.  No pair within
 Equal fingerprints are one node (their smallest id).  A bucket of at most ``most`` fingerprints is
 compared in its task.  Larger ones are dealt again by four blocks of the remaining bits (of four
 blocks at least one is equal at three differences), and what is still larger is searched by sorted
-look-ups of all neighbours within the radius, which is linear in the bucket.  A bucket gives only
-the links of a spanning forest, never all pairs.
+look-ups of all neighbours within the radius, which is linear in the bucket.  Such a sub-bucket agrees in
+40 bits or so, and its fingerprints are distinct: 2^24 of them at most, whatever the table's size.  A
+bucket gives only the links of a spanning forest, never all pairs.
 
 Rows: a null text counts as empty; a null id takes part, is smaller than no other id and never names
-a component unless alone; rows that repeat an id are one node.
+a component unless alone; rows that repeat an id are one node, with the fingerprints of all its texts.
+Other columns don't matter; an empty table gives an empty table.  A very long text is hashed as a whole
+by one task, in blocks of its shingles' hashes.
 """
 
 from __future__ import annotations
