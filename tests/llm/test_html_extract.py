@@ -64,3 +64,90 @@ def test_wrappers_with_modifier_names_stay():
         assert H.extract(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == body
     for name in ("site-footer", "sidebar", "cookie-banner", "main-nav"):
         assert H.extract(f"<body><article><p>{LONG}</p></article><div class='{name}'><p>{LONG}</p></div></body>") == body
+
+
+def test_elements_that_close_themselves_or_not_at_all():
+    assert H.extract("<article><p>first</p><svg/><p>second</p></article>") == "first second"
+    assert H.extract("<article><p>first</p><svg><text>drawn</text></svg><p>second</p></article>") == "first second"
+    assert H.extract("<article><div>one<select><option>x</div><p>two</p><object>three</object></article>") == "one two three"
+    assert H.extract("<head><title>never closed</head><article><p>text</p></article>") == "text"
+    assert H.extract("<article><p>text</p><script>var a = '<p>no text</p>';") == "text"
+    assert H.extract("<article><p>text</p><script>var a = '</p>';</script ><p>more</p></article>") == "text more"
+    assert H.extract("<article><p>a</p><textarea>b</textarea><template><p>c</p></template><noscript>d</noscript><p>e</p></article>") == "a e"
+    assert H.extract("<article><p>a <span class='ad'>Buy <b>now</b></span>b</p><p><ins class='adsense'>x</ins>c</p><span class='ad'><p>d</p></span></article>") == "a b c"
+    assert len(H.extract("<title>" * 20_000 + "<article><p>x</p></article>")) <= 1
+
+
+def test_lines_of_an_article_keep_names_that_tell_what_they_say():
+    body = " ".join(LONG.split())
+    page = f"<article><p>{LONG}</p><p class='legal'>{LONG}</p><p class='alert'>{LONG}</p><section id='related-work'><p>{LONG}</p></section><p class='advert'>Buy</p><div class='cookie-notice'>We</div></article>"
+    assert H.extract(page) == " ".join([body] * 4)
+
+
+def test_a_heading_before_the_menu_stays():
+    story = "".join(f"<p>{LONG}</p>" for _ in range(5))
+    body = " ".join([" ".join(LONG.split())] * 5)
+    assert H.extract(f"<body><h1>Headline</h1><nav><a href='/'>Home</a></nav><div>{story}</div></body>") == f"Headline {body}"
+    assert H.extract(f"<body><div><h1>Site</h1></div><nav>x</nav><div><h1>Headline</h1>{story}</div></body>") == f"Headline {body}"
+
+
+def brute_stretches(sizes, window, surge):
+    """Line by line: a line is in a stretch if a window over it has text; a stretch with a window beyond ``surge`` is strong."""
+    n = len(sizes)
+    padded = [0] * window + list(sizes) + [0] * window
+    total = {i: sum(padded[i + window + k] for k in range(window)) for i in range(-window, n)}  # the window that begins at line i
+    runs, now = [], []
+    for i in range(-window, n):
+        if total[i]:
+            now.append(i)
+        elif now:
+            runs.append(now)
+            now = []
+    runs += [now] if now else []
+    out = []
+    for run in runs:
+        own = [k for k in range(max(0, run[0]), min(n, run[-1] + window)) if sizes[k]]
+        out.append((own[0], own[-1] + 1, max(total[i] for i in run) >= surge))
+    return [r[:2] for r in out if r[2]] or [r[:2] for r in out]
+
+
+def brute_text(page):
+    """The measure decides, without the operator's own extract()."""
+    sizes, texts, heads = H.measured(page)
+    found = brute_stretches(sizes, H.WINDOW, H.SURGE)
+    weight = {f: sum(sizes[slice(*f)]) for f in found}
+    strong = [f for f in found if weight[f] >= H.SHARE * max(weight.values())]
+    if not strong:
+        return ""
+    kept = [t for t in texts[strong[0][0] : strong[-1][1]] if t]
+    before = [k for k in range(strong[0][0]) if sizes[k]]
+    if len(heads) == 1 and before[-1:] == heads and all(strong[0][0] - heads[0] > H.WINDOW and sizes[k] == 0 for k in range(max(0, heads[0] - H.WINDOW), heads[0])):
+        kept.insert(0, texts[heads[0]])
+    return " ".join(kept)
+
+
+def test_stretches_against_brute_force():
+    import random
+
+    r = random.Random(3)
+    for _ in range(500):
+        sizes = [r.choice([0, 0, 0, 0, 5, 30, 90]) for _ in range(r.randint(0, 40))]
+        window, surge = r.randint(1, 5), r.choice([0, 40, 80])
+        assert H.stretches(sizes, window, surge) == brute_stretches(sizes, window, surge)
+
+
+def test_pages_against_brute_force(spark):
+    """Every page of a table, and pages without marks, where stretches fall away on all sides."""
+    import random
+
+    pages = [p.html for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    r = random.Random(4)
+    for k in range(200):
+        parts = [r.choice([f"<p>{LONG[: r.randint(5, 200)]}</p>", "<nav><a href='/x'>menu of links</a></nav>", "<div class='ad'>Buy</div>", f"<div><p>{LONG[: r.randint(3, 90)]}</p></div>", "<h1>Head</h1>", "<div><a href='/y'>teaser in a link</a></div>", f"<article><p>{LONG[:60]}</p></article>"]) for _ in range(r.randint(0, 14))]
+        pages.append("<body>" + "".join(parts) + "</body>")
+    differ = 0
+    for page in pages:
+        got = H.extract(page)
+        assert got == brute_text(page or "")
+        differ += got != " ".join(t for t in H.measured(page or "")[1] if t)
+    assert differ > 40  # surge and dive points leave text out
