@@ -15,22 +15,36 @@ from placeforge.llm.common import discard, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below one half by a lexicon learned from ``labels`` and the documents at hand.
+
+    Null and empty texts stay, null and repeated ids are rows like others; without labels nothing goes.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word shingles, overlap 0.8 or more): the smallest id.
+
+    Texts without a word are one class; rows with a null id stay; rows that share an id stay or go together.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text holds no item of ``benchmark``; null and empty texts stay."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    """The mixture of sources, shuffled: rows go or repeat, all their columns stay as they are.
+
+    A null source is one; a source without text has rate 0 and goes.
+    """
+    return mixing.remix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of token ids; a null or empty text is a segment of the end id alone."""
     return packing.pack(docs)
 
 
