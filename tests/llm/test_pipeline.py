@@ -1,7 +1,7 @@
 import corpus_pipeline as C
 from placeforge.llm import decontam, mixing, packing, simhash, toxicity
 
-from .helpers import documents, hard, words
+from .helpers import CLASHING, COLUMNS, documents, hard, words
 from .test_decontam import ITEM
 from .test_toxicity import BAD, corpus
 
@@ -35,9 +35,11 @@ def test_stages_against_their_operators(spark, tmp_path):
 def test_hard_rows_pass_every_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = hard(spark, extra=False)
+    docs, own = hard(spark), [c for c in CLASHING if c not in COLUMNS]
     for _, stage in C.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert all(r[c] == f"extra {c}" for r in docs.collect() for c in own)
+    assert docs.count()
     assert C.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).collect() == []
