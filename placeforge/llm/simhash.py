@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, materialize, slices
+from .common import as_bytes, discard, few, materialize, slices
 from .components import components
 
 RADIUS = 3
@@ -45,6 +45,10 @@ DIRECT = 2000
 ROWS, BANDS = 6, 24
 #: Sets of a group that are compared without a prefix filter, and shingles of a group that one task holds.
 GROUP, BLOCK = 200, 2_000_000
+#: Shingles of a batch of sets of which the prefixes are found together.
+BATCH = 200_000
+#: Ids that go up to which they are broadcast.
+MOST_GONE = 200_000
 
 
 def masks() -> list[int]:
@@ -285,13 +289,43 @@ def _sets(size: int):
     return run
 
 
-def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, token) for each shingle of the sets."""
-    for batch in slices(batches, "set"):
-        sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets))], ["key", "n", "token"])
+def _batch_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, token, c): the distinct shingles of the sets of a batch b, of which the rows (b, set) come together."""
+    now, held = None, []
+
+    def close() -> pa.RecordBatch:
+        names, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(names), pa.int64()), pa.array(names), pa.array(counts.astype(np.int64))], ["b", "token", "c"])
+
+    for batch in batches:
+        for b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != now:
+                yield close()
+                now, held = b, []
+            held.append(np.frombuffer(own, np.int64))
+    yield close()
+
+
+def _prefixes(least: float):
+    """(g, key, n) of a batch: its sets (b, key, set) with what is known of its shingles (b, token, c)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, counts = (right.column(k).to_numpy() for k in ("token", "c"))
+        order = np.argsort(names)
+        names, counts = names[order], counts[order]
+        out: list[tuple] = []
+        for key, own in zip(left.column("key").to_pylist(), left.column("set").to_pylist(), strict=True):
+            own = np.frombuffer(own, np.int64)
+            at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
+            shared = names[at] == own if len(names) else np.zeros(len(own), bool)
+            # shingles of one set alone come first: they count in the prefix but make no group
+            first = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 - int((~shared).sum())
+            if first > 0:
+                mine, c = own[shared], counts[at[shared]]
+                out.extend((int(t), key, len(own)) for t in mine[np.lexsort((mine, c))[:first]].tolist())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["g", "key", "n"])
+
+    return run
 
 
 def overlapping(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -365,18 +399,19 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flip", F.bitwise_not("g")).join(one, "flip").select("g", "key", "c", "w")
 
 
-def prefix_groups(sets: DataFrame, least: float) -> DataFrame:
-    """(g, key, n): the first shingles of each set (key, set), rare ones first, as many as an overlap of ``least`` can't do without.
+def prefix_groups(sets: DataFrame, least: float, batch: int = BATCH) -> DataFrame:
+    """(g, key, n): the first shingles of each set (key, n, set), rare ones first, as many as an overlap of ``least`` can't do without.
 
-    Two sets with that overlap share a shingle of both prefixes.  Shingles of one set alone are the
-    rarest; they count in the prefix but make no group.
+    Two sets with that overlap share a shingle of both prefixes.  How often a shingle comes is looked up
+    once for each batch of sets (of ``batch`` shingles or so), not for each set: near copies share theirs.
     """
-    tokens = sets.select("key", "set").mapInArrow(_tokens, "key long, n int, token long")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select(F.bitwise_not("token").alias("flip"), "c")
-    shared = tokens.withColumn("flip", F.bitwise_not("token")).join(counts, "flip")
-    own = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
-    first = F.size("s") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    return own.select("key", "n", F.explode(F.slice("s", 1, F.greatest(first, F.lit(0)))).alias("s")).select(F.col("s.token").alias("g"), "key", "n")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    many = max(8, -(-total // batch))
+    dealt = sets.select(F.pmod(F.xxhash64("key"), F.lit(many)).alias("b"), "key", "set")
+    tokens = materialize(dealt.select("b", "set").repartition("b").sortWithinPartitions("b").mapInArrow(_batch_tokens, "b long, token long, c long"))
+    counts = tokens.groupBy("token").agg(F.sum("c").alias("c")).filter("c > 1").select(F.bitwise_not("token").alias("flip"), F.col("c").alias("uses"))
+    known = tokens.select("b", "token", F.bitwise_not("token").alias("flip")).join(counts, "flip").select("b", "token", F.col("uses").alias("c"))
+    return materialize(dealt.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_prefixes(least), "g long, key long, n int"))
 
 
 def overlap_links(texts: DataFrame, distinct: DataFrame, prints: DataFrame, least: float, size: int, most: int = GROUP, block: int = BLOCK) -> DataFrame:
@@ -394,7 +429,7 @@ def overlap_links(texts: DataFrame, distinct: DataFrame, prints: DataFrame, leas
     made = texts.join(wanted.select("rep").distinct(), texts["doc_id"] == F.col("rep")).select("doc_id", "text").mapInArrow(_sets(size), "key long, set binary")
     # an id may have several texts, and a text several rows
     sets = materialize(made.join(wanted, "key").groupBy("key", "rep").agg(F.first("set").alias("set")))
-    hot = sets.join(shared.filter(F.col("c") > most).select("key").distinct(), "key", "left_semi")
+    hot = sets.join(shared.filter(F.col("c") > most).select("key").distinct(), "key", "left_semi").withColumn("n", F.expr("octet_length(set) DIV 8"))
     small = shared.filter(F.col("c") <= most).select("g", "key", "w")
     dealt = small.unionByName(groups(prefix_groups(hot, least)).select(F.xxhash64("g", F.lit("prefix")).alias("g"), "key", "w"))
     k = F.ceil(F.col("w") / block).cast("int")
@@ -420,7 +455,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     prints = made.select("key", "fp").distinct().join(classes(made.select("doc_id", "fp")).select("fp", "component_id").distinct(), "fp")
     found = components(overlap_links(base, distinct, prints, similarity, size))
     named = distinct.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    gone = materialize(made.select("key", "doc_id").join(named, "key").filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct())
+    gone = few(made.select("key", "doc_id").join(named, "key").filter("doc_id <> component_id").select(F.col("doc_id").alias("near_duplicate_id")).distinct(), MOST_GONE)
     discard(made)
     discard(distinct)
     return docs.join(gone, docs["doc_id"] == gone["near_duplicate_id"], "left_anti")

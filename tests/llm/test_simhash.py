@@ -151,3 +151,43 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, most, block):
     prints = made.selectExpr("key", "doc_id AS component_id")
     links = S.overlap_links(docs.select("doc_id", "text"), distinct, prints, 0.8, 5, most, block).distinct().collect()
     assert sorted(tuple(sorted((r.a, r.b))) for r in links) == [(k, k + 1) for k in range(0, 80, 2)]
+
+
+@pytest.mark.parametrize("batch", [200_000, 40])
+def test_prefixes_against_brute_force(spark, batch):
+    """Rare shingles first, over all sets, however these are dealt; every pair with the overlap meets."""
+    r = random.Random(6)
+    sets = [np.array(sorted(r.sample(range(60), r.randint(1, 30))), np.int64) for _ in range(50)]
+    sets += [np.array(sorted({*s[1:].tolist(), 99}), np.int64) for s in sets if len(s) > 12]
+    df = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "key long, n int, set binary")
+    got = {}
+    for x in S.prefix_groups(df, 0.8, batch).collect():
+        got.setdefault(x.key, set()).add(x.g)
+    uses = {}
+    for t in (t for s in sets for t in s.tolist()):
+        uses[t] = uses.get(t, 0) + 1
+    for k, s in enumerate(sets):
+        first = sorted(s.tolist(), key=lambda t: (uses[t], t))[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1]
+        assert got.get(k, set()) == {t for t in first if uses[t] > 1}
+    for i, a in enumerate(sets):
+        for k in range(i):
+            both = len(np.intersect1d(a, sets[k]))
+            if both >= 0.8 * (len(a) + len(sets[k]) - both):
+                assert got[i] & got[k]
+
+
+def test_recall_and_false_removals_by_overlap(spark):
+    """Pairs with a known overlap among texts that share most of their words: who is linked and who isn't."""
+    texts, pairs = [], []
+    base = words(900, 330)
+    for k in range(150):
+        apart = [2, 8, 14, 20, 26, 40][k % 6]
+        mine = words(2000 + k, 60)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [f"{base} {mine} {words(7000 + 2 * k + x, apart)}" for x in (0, 1)]
+    near = {(a, b) for a, b in pairs if jaccard(texts[a], texts[b]) >= 0.8}
+    kept = {r.doc_id for r in S.keep_one(documents(spark, texts)).collect()}
+    lost = [(a, b) for a, b in near if b in kept]
+    assert len(near) > 100 and len(lost) / len(near) <= 0.1
+    assert all(a in kept for a, _ in pairs)
+    assert all(b in kept for a, b in pairs if (a, b) not in near and all(jaccard(texts[b], texts[x]) < 0.8 for x in range(len(texts)) if x != b))
