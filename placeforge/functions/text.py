@@ -108,8 +108,8 @@ def normalize_chars(c: Column) -> Column:
     has = lambda x, stems: F.greatest(*(x.contains(s) for s in stems))
 
     def pick(x: Column) -> Column:
-        is_t = has(x["t"], ["Тверс", "Тульс", "Томс"])
-        is_k = has(x["k"], ["Камск", "Курск", "Казан", "Киевс", "Коломен", "Красно"])
+        is_t = has(x["t"], W.BROKEN_T)
+        is_k = has(x["k"], W.BROKEN_K)
         return F.when(is_t, x["t"]).when(is_k, x["k"]).otherwise(x["d"])
 
     tried = F.struct(*(F.replace(c, F.lit(sign), F.lit(letter)).alias(k) for k, letter in zip("tkd", "ТКД", strict=True)))
@@ -163,7 +163,8 @@ def fix_adjective_agreement(c: Column, exempt: list[str] | None = None) -> Colum
 def is_protected_word(low: Column) -> Column:
     """Words that spelling repair leaves alone: street types and endings of place names."""
     types = sorted({*W.STREET_TYPES, *W.FEMININE, *W.MASCULINE, *W.NEUTER})
-    return low.isin(types) | low.rlike("(ово|ево|ино|град|бург|поль)$") | (low.rlike("(ск|цк)$") & (F.octet_length(low) >= 5))
+    ends = lambda endings: F.greatest(*(low.endswith(e) for e in endings))
+    return low.isin(types) | ends(W.PLACE_ENDINGS) | (ends(W.ADJECTIVE_ENDINGS) & (F.octet_length(low) >= 5))
 
 
 def repair(c: Column) -> Column:

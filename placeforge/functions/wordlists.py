@@ -104,3 +104,11 @@ PLACE_LABELS = {
 
 # Category codes of the compact format; every ``admin_level:`` category counts as boundary.
 CATEGORY_CODES = {"amenity": 1, "tourism": 2, "shop": 3, "historic": 4, "leisure": 5, "office": 6, "boundary": 7, "highway": 8, "railway": 9, "aeroway": 10, "waterway": 11, "natural": 12}
+
+# Beginnings of names in which a broken first letter was one of two letters.
+BROKEN_T = ["Тверс", "Тульс", "Томс"]
+BROKEN_K = ["Камск", "Курск", "Казан", "Киевс", "Коломен", "Красно"]
+
+# Endings of place names, and of adjectives made from them.
+PLACE_ENDINGS = ["ово", "ево", "ино", "град", "бург", "поль"]
+ADJECTIVE_ENDINGS = ["ск", "цк"]

@@ -141,6 +141,33 @@ def read_compact(raw: bytes) -> dict:
     return {"head": head, "pool": pool, "named": named, "addresses": addresses, "records": rows}
 
 
+def compact_report(raw: bytes) -> list[str]:
+    """What a compact file holds, section by section."""
+    got = read_compact(raw)
+    head, pool = got["head"], got["pool"]
+    ends = [*head["offsets"][1:], len(raw)]
+    sections = [f"{name}: {end - at} bytes at {at}" for name, at, end in zip(("pool", "named index", "address index", "records"), head["offsets"], ends, strict=True)]
+    names = [pool[r[5]] for r in got["records"] if r[0] == 1]
+    facts = [f"region {head['region']!r}, built {head['timestamp']}", f"records {head['records']}: addresses {head['addresses']}, named {head['named']}", f"strings {len(pool)}, longest {max(map(len, pool))}"]
+    ordered = got["named"] == sorted(got["named"], key=lambda e: (pool[e[0]].lower(), e[2]))
+    return [*facts, *sections, f"named index {'in order' if ordered else 'NOT in order'}", *(f"  {n}" for n in names[:5])]
+
+
+def find_compact(raw: bytes, query: str, limit: int = 10) -> list[tuple]:
+    """(name, lat, lon) of the records of a compact file whose lowered name starts with the query, by binary search in the named index."""
+    from bisect import bisect_left
+
+    got = read_compact(raw)
+    pool, named, q = got["pool"], got["named"], query.lower()
+    at = bisect_left(named, q, key=lambda e: pool[e[0]].lower())
+    found = []
+    while at < len(named) and len(found) < limit and pool[named[at][0]].lower().startswith(q):
+        record = got["records"][named[at][2]]
+        found.append((pool[named[at][0]], record[1], record[2]))
+        at += 1
+    return found
+
+
 def compact_objects(spark, path: str) -> DataFrame:
     """The objects of compact files as rows, one task a file."""
 
