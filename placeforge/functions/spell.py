@@ -46,6 +46,8 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataF
     left = asked.select("word", F.explode(T.deletes(F.col("word"), most)).alias("form"))
     right = known.select("term", "freq", F.explode(T.deletes(F.col("term"), most)).alias("form"))
     pairs = left.join(right, "form").filter(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term", "freq").distinct()
+    # a swap costs the built-in distance two edits, so what is within ``most`` here is within twice that there
+    pairs = pairs.filter(F.levenshtein("word", "term", 2 * most) >= 0)
     near = pairs.withColumn("distance", osa_udf("word", "term")).filter(F.col("distance") <= most)
     best = F.min(F.struct("distance", (-F.col("freq")).alias("f"), "term"))
     return near.groupBy("word").agg(best.alias("b")).select("word", "b.term", "b.distance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -22,9 +22,9 @@ KEY = ["country", "city", "street", "housenumber"]
 
 def addresses(objects: DataFrame) -> DataFrame:
     """The first address by seq of each (country, city, street, house number); null differs from empty."""
-    keys = [text.dedup_key(F.col(c)) for c in KEY]
-    order = Window.partitionBy(*keys).orderBy("seq")
-    return objects.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    keys = [text.dedup_key(F.col(c)).alias(f"key_{k}") for k, c in enumerate(KEY)]
+    first = objects.groupBy(*keys).agg(F.min_by(F.struct("*"), "seq").alias("row"))
+    return first.select("row.*")
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:

@@ -58,7 +58,9 @@ def relation_centroids(elements: DataFrame, ways: DataFrame) -> DataFrame:
 
 def located(elements: DataFrame) -> DataFrame:
     """Elements with coordinates for every kind."""
-    ways = way_centroids(elements)
+    from ..plans.build import save
+
+    ways = save(way_centroids(elements))  # the relations need them too
     relations = relation_centroids(elements, ways)
     places = ways.withColumn("kind", F.lit("way")).unionByName(relations.withColumn("kind", F.lit("relation"))).withColumnsRenamed({"owner": "id", "lat": "at_lat", "lon": "at_lon"})
     nodes = elements.filter("kind = 'node'").select("seq", "kind", "id", "lat", "lon", "tags")

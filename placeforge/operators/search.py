@@ -28,11 +28,40 @@ def postings(rows: DataFrame, columns: list[str], id_column: str = "id", stemmed
     return joined.select("doc_id", "col", F.coalesce("stem", "term").alias("term"), "tf").groupBy("doc_id", "col", "term").agg(F.sum("tf").alias("tf"))
 
 
+#: Lengths of the prefixes that stored postings carry.
+PREFIXES = (2, 3, 4)
+
+
+def with_prefixes(posted: DataFrame) -> DataFrame:
+    """Postings with the first 2, 3 and 4 characters of the term (p2, p3, p4; null for shorter terms)."""
+    return posted.withColumns({f"p{n}": F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in PREFIXES})
+
+
+def starts(posted: DataFrame, prefix: str) -> Column:
+    """Whether the term starts with ``prefix``, narrowed by an equality on the longest prefix column that there is."""
+    fitting = [n for n in PREFIXES if n <= len(prefix) and f"p{n}" in posted.columns]
+    hit = F.col("term").startswith(prefix)
+    return (F.col(f"p{fitting[-1]}") == prefix[: fitting[-1]]) & hit if fitting else hit
+
+
 def lengths(posted: DataFrame) -> DataFrame:
     """(doc_id, n_tokens)."""
     return posted.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"))
 
 
+def scanned(rows: DataFrame, columns: list[str], terms: list[str], id_column: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms that begin with one of ``terms``, and lengths, straight from the rows: other terms aren't shuffled.
+
+    For tables without stored postings.
+    """
+    own = F.concat(*(F.transform(text.tokens(F.coalesce(F.col(c), F.lit(""))), lambda t, c=c: F.struct(F.lit(c).alias("col"), t.alias("term"))) for c in columns))
+    hit = lambda t: F.greatest(*(t["term"].startswith(p) for p in terms), F.lit(False))
+    found = rows.select(F.col(id_column).alias("doc_id"), F.inline(F.filter(own, hit)))
+    size = F.size(F.concat(*(text.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns)))
+    sizes = rows.select(F.col(id_column).alias("doc_id"), size.cast("long").alias("n_tokens")).filter("n_tokens > 0")
+    return found.groupBy("doc_id", "col", "term").agg(F.count("*").alias("tf")), sizes
+
+
 def prefixes(query: str, stemmed: bool = True, strict: bool = False) -> list[str]:
     """The prefix of each query term.  ``strict`` gives none for a query with punctuation, which a full-text grammar would refuse."""
     if strict and re.search(r"[^\w\s]", query):
@@ -47,7 +76,7 @@ def hits(posted: DataFrame, terms: list[str]) -> DataFrame:
     found = F.filter(asked, lambda a: F.col("term").startswith(a["prefix"]))
     any_ = F.lit(False)
     for t in terms:
-        any_ |= F.col("term").startswith(t)
+        any_ |= starts(posted, t)
     rows = posted.filter(any_).select("doc_id", "tf", F.explode(found).alias("a"))
     return rows.groupBy("doc_id", "a.term_no").agg(F.sum("tf").alias("f"))
 

@@ -16,9 +16,11 @@ VERSION = "0.2.0"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets a temporary one."""
+    """The folder that driver and executors share; a local session without one gets a temporary one, on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="placeforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,6 +61,8 @@ def build(elements: DataFrame, region: str | None = None, dictionary: DataFrame
     ``strict`` keeps the original chain with its known slips; else abbreviations are written out
     before grammar, place names aren't taken for abbreviations, and cities aren't averaged with (0, 0).
     """
+    # a source is decoded once, however many branches read its elements
+    elements = save(elements)
     found = save(extract.objects(elements, lambda rows: repair(rows, dictionary, strict)))
     filled = save(infer.fill_cities(found, skip_origin=not strict))
     merged = infer.merge_typos(filled)
@@ -70,7 +74,7 @@ def build(elements: DataFrame, region: str | None = None, dictionary: DataFrame
 def meta(objects: DataFrame, region: str | None, **more: str) -> DataFrame:
     """(key, value), sorted by key."""
     counts = stats.object_counts(objects).first()
-    rows = {"source": "", "build_date": datetime.datetime.now(datetime.UTC).date().isoformat(), "version": VERSION, "object_count": counts.objects, "addr_count": counts.addresses, "named_count": counts.named} | ({"region": region} if region else {}) | more
+    rows = {"source": more.pop("source", ""), "build_date": datetime.datetime.now(datetime.UTC).date().isoformat(), "version": VERSION, "object_count": counts.objects, "addr_count": counts.addresses, "named_count": counts.named} | ({"region": region} if region else {}) | more
     return objects.sparkSession.createDataFrame([(k, str(v)) for k, v in sorted(rows.items())], "key string, value string")
 
 
@@ -79,7 +83,7 @@ FTS = {0: ["country", "city", "street", "housenumber", "postcode"], 1: ["country
 
 def text_index(objects: DataFrame, kind: int) -> DataFrame:
     """Postings of one sort of objects; places and names are stemmed, numbers and categories aren't."""
-    return search.postings(objects.filter(F.col("type") == kind), FTS[kind], stemmed=("country", "city", "street", "name"))
+    return search.with_prefixes(search.postings(objects.filter(F.col("type") == kind), FTS[kind], stemmed=("country", "city", "street", "name")))
 
 
 def write(objects: DataFrame, path: str, region: str | None, **more: str) -> None:
