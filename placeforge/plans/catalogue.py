@@ -282,9 +282,14 @@ STEMS = [("москва", "москв"), ("тверская", "тверск"), (
 SIZES = [("828 MB", 828.0), ("38.4 MB", 38.4), ("1.2 GB", 1228.8), ("12&nbsp;MB", 12.0), ("large", 0.0)]
 
 
-@query(literal(EXPANDED, "input, output"))
+FORMS = list(dict.fromkeys(W.ABBREVIATIONS))
+
+
+@query("WITH form AS (" + literal(FORMS, "form, full_") + f") SELECT p_partkey, form || ' ' || p_name AS input, full_ || ' ' || p_name AS output FROM part JOIN (SELECT *, row_number() OVER () - 1 AS k FROM form) f ON p_partkey % {len(FORMS)} = f.k")
 def expand_abbreviations(spark, sf):
-    return named(spark, EXPANDED, text.expand_abbreviations)
+    form = F.element_at(F.array(*(F.lit(f) for f, _ in FORMS)), (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", form, "p_name").alias("input"))
+    return rows.withColumn("output", text.expand_abbreviations(F.col("input")))
 
 
 @query(literal(OBLIQUE, "input, output"))
@@ -317,9 +322,12 @@ def stem_words(spark, sf):
     return named(spark, STEMS, stem.stem_udf)
 
 
-@query(literal(SIZES, "input, output"))
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 0.0 WHEN 2 THEN (o_orderkey % 77) * 1024.0 ELSE (o_orderkey % 9000) / 8.0 END::DOUBLE AS output FROM orders")
 def size_parse(spark, sf):
-    return named(spark, SIZES, text.size_mb, "input string, output double")
+    k = F.col("o_orderkey")
+    amount = ((k % 9000) / 8).cast("string")
+    said = F.when(k % 4 == 3, "large").when(k % 4 == 2, F.concat((k % 77).cast("string"), F.lit(" GB"))).when(k % 4 == 1, F.concat(amount, F.lit("&nbsp;MB"))).otherwise(F.concat(amount, F.lit(" MB")))
+    return table(spark, sf, "orders").select("o_orderkey", text.size_mb(said).alias("output"))
 
 
 DICTIONARY = [("москва", 90), ("мост", 50), ("места", 70), ("улица", 80), ("дорога", 60)]
@@ -351,6 +359,10 @@ def document_postings(spark, sf) -> DataFrame:
     return search.postings(table(spark, sf, "documents"), ["text"], "doc_id")
 
 
+def scanned_documents(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return search.scanned(table(spark, sf, "documents"), ["text"], TERMS, "doc_id")
+
+
 @query(f"WITH {TOKENS} SELECT term, count(*) AS docs, sum(tf)::BIGINT AS uses FROM posting GROUP BY term")
 def fts_terms(spark, sf):
     return document_postings(spark, sf).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses"))
@@ -363,7 +375,7 @@ def fts_postings(spark, sf):
 
 @query(f"WITH {TOKENS} SELECT doc_id FROM posting GROUP BY doc_id HAVING bool_or(starts_with(term, '{TERMS[0]}')) AND bool_or(starts_with(term, '{TERMS[1]}'))")
 def fts_match_and(spark, sf):
-    return search.match_all(document_postings(spark, sf), TERMS)
+    return search.match_all(scanned_documents(spark, sf)[0], TERMS)
 
 
 RANKED = f"""{TOKENS}, size AS (SELECT doc_id, sum(tf)::DOUBLE AS n FROM posting GROUP BY doc_id), corpus AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean FROM size),
@@ -376,23 +388,22 @@ RANKED = f"""{TOKENS}, size AS (SELECT doc_id, sum(tf)::DOUBLE AS n FROM posting
 
 @query(f"WITH {RANKED} SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20")
 def fts_bm25_top20(spark, sf):
-    posted = document_postings(spark, sf)
-    return search.top(search.bm25(posted, search.lengths(posted), TERMS)).select("doc_id", F.round("rank", 6).alias("rank"))
+    return search.top(search.bm25(*scanned_documents(spark, sf), TERMS)).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {RANKED}, place AS (SELECT doc_id AS id, source AS category, 50.0::DOUBLE + (doc_id * 37 % 1000) / 100.0::DOUBLE AS lat, 20.0::DOUBLE + (doc_id * 91 % 1000) / 100.0::DOUBLE AS lon FROM documents)
  SELECT id, category, lat, lon, round(rank, 6) AS rank FROM ranked JOIN place ON id = doc_id WHERE lat BETWEEN 52 AND 58 AND lon BETWEEN 21 AND 29 ORDER BY ranked.rank, id LIMIT 20""")
 def fts_bbox(spark, sf):
-    posted = document_postings(spark, sf)
+    posted, sizes = scanned_documents(spark, sf)
     objects = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"), lat("doc_id").alias("lat"), lon("doc_id").alias("lon"))
-    return search.search(objects, posted, search.lengths(posted), " ".join(TERMS), box=(52, 58, 21, 29), stemmed=False).withColumn("rank", F.round("rank", 6))
+    return search.search(objects, posted, sizes, " ".join(TERMS), box=(52, 58, 21, 29), stemmed=False).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH {RANKED} SELECT doc_id AS id, source AS category, round(rank, 6) AS rank FROM ranked JOIN documents USING (doc_id) WHERE source = 'src0' ORDER BY ranked.rank, id LIMIT 20""")
 def fts_category(spark, sf):
-    posted = document_postings(spark, sf)
+    posted, sizes = scanned_documents(spark, sf)
     objects = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"))
-    return search.search(objects, posted, search.lengths(posted), " ".join(TERMS), category="src0", stemmed=False).withColumn("rank", F.round("rank", 6))
+    return search.search(objects, posted, sizes, " ".join(TERMS), category="src0", stemmed=False).withColumn("rank", F.round("rank", 6))
 
 
 # -- boxes, distances, sorted lookups
@@ -581,14 +592,22 @@ STRICT = [("ул Ленина", "Улица Ленина"), ("Тверской 
 CODES = [("amenity", 1), ("tourism", 2), ("shop", 3), ("historic", 4), ("leisure", 5), ("office", 6), ("boundary", 7), ("admin_level:4", 7), ("highway", 8), ("railway", 9), ("aeroway", 10), ("waterway", 11), ("natural", 12), ("other", 0)]
 
 
-@query(literal(STEMS_OF_PATHS, "input, output"))
+@query(r"""WITH path AS (SELECT '/data/' || replace(p_name, ' ', '-') || CASE p_partkey % 4 WHEN 0 THEN '-latest.osm.pbf' WHEN 1 THEN '.osm.pbf' WHEN 2 THEN '.osm' ELSE '-latest.osm' END AS input, p_partkey FROM part)
+ SELECT p_partkey, input, replace(regexp_extract(input, '([^/]*)$', 1)[:regexp_extract(input, '([^/]*)$', 1).strpos('.') - 1], '-latest', '') AS output FROM path""")
 def output_stem(spark, sf):
-    return named(spark, STEMS_OF_PATHS, text.output_stem)
+    k = F.col("p_partkey") % 4
+    end = F.when(k == 0, "-latest.osm.pbf").when(k == 1, ".osm.pbf").when(k == 2, ".osm").otherwise("-latest.osm")
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("/data/"), F.replace("p_name", F.lit(" "), F.lit("-")), end).alias("input"))
+    return rows.withColumn("output", text.output_stem(F.col("input")))
 
 
-@query(literal(PROTECTED, "input, output"))
+@query("WITH word AS (" + literal([(w,) for w, _ in PROTECTED], "word") + f"), made AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN word ELSE p_name || word END AS input, p_partkey % 2 = 0 AS whole, word FROM part JOIN (SELECT *, row_number() OVER () - 1 AS k FROM word) w ON p_partkey % {len(PROTECTED)} = w.k)"
+       " SELECT p_partkey, input, CASE word WHEN 'дом' THEN FALSE WHEN 'проспект' THEN whole ELSE TRUE END AS output FROM made")
 def protected_words(spark, sf):
-    return named(spark, PROTECTED, text.is_protected_word, "input string, output boolean")
+    k = F.col("p_partkey")
+    word = F.element_at(F.array(*(F.lit(w) for w, _ in PROTECTED)), (k % len(PROTECTED) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.when(k % 2 == 0, word).otherwise(F.concat("p_name", word)).alias("input"))
+    return rows.withColumn("output", text.is_protected_word(F.col("input")))
 
 
 @query(literal(STRICT, "input, output"))
@@ -596,9 +615,10 @@ def normalize_name_strict(spark, sf):
     return named(spark, STRICT, lambda c: text.normalize_name(c, strict=True))
 
 
-@query(literal(CODES, "input, output"))
+@query("WITH code AS (" + literal(CODES, "input, output") + f") SELECT p_partkey, c.input, c.output::INTEGER AS output FROM part JOIN (SELECT *, row_number() OVER () - 1 AS k FROM code) c ON p_partkey % {len(CODES)} = c.k")
 def category_codes(spark, sf):
-    return named(spark, CODES, text.category_code, "input string, output int")
+    category = F.element_at(F.array(*(F.lit(c) for c, _ in CODES)), (F.col("p_partkey") % len(CODES) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", category.alias("input")).withColumn("output", text.category_code(F.col("input")))
 
 
 @query(f"WITH {POINTS}, rec AS (SELECT *, row_number() OVER (ORDER BY lat, lon, seq) AS i FROM points) SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM rec WHERE name = (SELECT name FROM points WHERE seq = 10000001) ORDER BY i LIMIT 1")
