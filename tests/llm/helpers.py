@@ -12,7 +12,7 @@ def words(seed: int, n: int) -> str:
     return " ".join("".join(r.choice("aeiou") + r.choice("bcdfgklmnprst") for _ in range(r.randint(1, 4))) for _ in range(n))
 
 
-def hard_rows() -> list[tuple]:
+def first_rows() -> list[tuple]:
     base = words(1, 120)
     return [
         (1, base, "en", "a", 10),
@@ -26,24 +26,34 @@ def hard_rows() -> list[tuple]:
         (9, words(3, 60), "de", None, 1),
         (9, words(3, 60), "de", None, 1),
         (None, words(4, 40), "de", "b", 2),
+        (-5, words(5, 30) + " " + words(5, 30), "en", "b", 2),
+        (10, "été naïve 日本語 \U0001f600 x", "fr", "c", 2),
+    ]
+
+
+def hard_rows() -> list[tuple]:
+    """The first rows and others that share an id, a null one too, or hold one very long word."""
+    return first_rows() + [
         (None, words(6, 50) + " " + words(6, 50), "de", "b", 2),
         (None, None, "en", "b", None),
         (11, words(1, 40), "en", "b", 2),
         (11, words(7, 45), "en", "b", 2),
         (12, "x" * 300_000, "en", "a", 300_000),
-        (-5, words(5, 30) + " " + words(5, 30), "en", "b", 2),
-        (10, "été naïve 日本語 \U0001f600 x", "fr", "c", 2),
     ]
 
 
-def hard(spark, extra: bool = True):
+def hard(spark, extra: bool = True, rows=hard_rows):
     """The rows, with clashing extra columns."""
     from pyspark.sql import functions as F
 
-    made = spark.createDataFrame(hard_rows(), COLUMNS)
+    made = spark.createDataFrame(rows(), COLUMNS)
     return made.withColumns({c: F.lit(f"extra {c}") for c in CLASHING}) if extra else made
 
 
+def first_hard(spark):
+    return hard(spark, rows=first_rows)
+
+
 def empty(spark):
     return spark.createDataFrame([], COLUMNS)
 

@@ -1,6 +1,9 @@
 from placeforge.llm import decontam as D
 
-from .helpers import documents, empty, hard, hard_rows, words
+from . import helpers
+from .helpers import documents, empty, words
+from .helpers import first_hard as hard
+from .helpers import first_rows as hard_rows
 
 ITEM = "A train leaves Paris at 9 and travels 120 km before it meets Anna, who has walked 3 km since 7 in the morning; how far is Paris"
 ITEMS = [(1, ITEM), (2, words(70, 40)), (3, None), (4, ""), (5, "What is two times seven"), (6, words(71, 30))]
@@ -43,6 +46,18 @@ def test_hard_rows(spark):
     assert sorted((r.doc_id or 0) for r in out.collect()) == sorted((i or 0) for i, *_ in hard_rows() if i not in (9, None))
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    df = helpers.hard(spark)
+    leaks = [words(4, 40), words(3, 60), words(7, 45)]
+    bench = spark.createDataFrame(list(enumerate(leaks)), "item_id long, text string")
+    rows = D.judge(df, bench).collect()
+    assert len(rows) == len(helpers.hard_rows())
+    assert sorted((r.doc_id or 0) for r in rows if r.contaminated) == [0, 9, 9, 11]
+    kept = D.keep_clean(df, bench)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t, *_ in helpers.hard_rows() if t not in leaks)
+
+
 def test_main_path_is_native(spark):
     plan = D.judge(documents(spark, [ITEM]), items(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
