@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.geo import cell3, haversine, haversine_m
+from ..functions.geo import EARTH_M, cell3, haversine, haversine_m
 
 #: Points of the same name nearer than this are one.
 RADIUS_M = 100.0
@@ -17,6 +18,8 @@ RADIUS_M = 100.0
 SMALL = 20_000
 #: Cells of this width have no two points as far apart as RADIUS_M.
 CELL_M = 57.0
+#: From a cell to itself and its 26 neighbours.
+STEPS = list(product((-1, 0, 1), repeat=3))
 KEY = ["country", "city", "street", "housenumber"]
 
 
@@ -28,12 +31,17 @@ def addresses(objects: DataFrame) -> DataFrame:
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    kept: list[tuple[float, float]] = []
+    """The seqs that stay, in order; kept points lie in cubic cells of RADIUS_M, so each meets those of 27 cells alone."""
+    kept: dict[tuple[int, int, int], list[tuple[float, float]]] = {}
     keep = []
     rows = rows.sort_values("seq")
-    for seq, lat, lon in zip(rows.seq, rows.lat, rows.lon, strict=True):
-        if not any(haversine_m(lat, lon, y, x) < RADIUS_M for y, x in kept):
-            kept.append((lat, lon))
+    p, q, r = np.radians(rows.lat.to_numpy(float)), np.radians(rows.lon.to_numpy(float)), EARTH_M / RADIUS_M
+    # a point without coordinates is near nothing: it has a cell of its own kind
+    at = np.nan_to_num(np.floor(np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], 1) * r), nan=1e12).astype(np.int64)
+    for seq, lat, lon, (x, y, z) in zip(rows.seq, rows.lat, rows.lon, at.tolist(), strict=True):
+        near = (k for i, j, m in STEPS for k in kept.get((x + i, y + j, z + m), ()))
+        if not any(haversine_m(lat, lon, v, w) < RADIUS_M for v, w in near):
+            kept.setdefault((x, y, z), []).append((lat, lon))
             keep.append(seq)
     return pd.DataFrame({"seq": keep})
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,6 +12,8 @@ from ..functions.geo import EARTH_M, haversine
 
 #: Degrees of a cell in which objects share their candidate cities.
 CELL = 1.0
+#: Width of the finest grid of centroids, and grids, of which the last one's cells are wider than half a great circle.
+WIDTH_M, LEVELS = 150_000.0, 9
 
 
 def has(c: str) -> Column:
@@ -28,24 +32,54 @@ def city_frequency(objects: DataFrame) -> DataFrame:
     return objects.filter(has("city")).groupBy("city").agg(F.count("*").alias("n"))
 
 
+def _unit(lat: str, lon: str) -> Column:
+    """The point on a sphere of radius 1."""
+    p, q = F.radians(lat), F.radians(lon)
+    return F.struct((F.cos(p) * F.cos(q)).alias("x"), (F.cos(p) * F.sin(q)).alias("y"), F.sin(p).alias("z"))
+
+
+def _cell(level: str) -> Column:
+    """The cell of the point ``u`` in the grid of a level."""
+    scale = EARTH_M / (WIDTH_M * F.pow(F.lit(2.0), F.col(level)))
+    return F.struct(*(F.floor(F.col(f"u.{c}") * scale).alias(c) for c in "xyz"))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Rows once for each grid, with its level and the cell of ``u``."""
+    return rows.withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("cell", _cell("level"))
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Rows with their column ``cell`` and again with each of the 26 cells that touch it."""
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x, y, z in product((-1, 0, 1), repeat=3)))
+    moved = F.struct(*((F.col(f"cell.{c}") + F.col(f"step.{c}")).alias(c) for c in "xyz"))
+    return rows.withColumn("step", F.explode(steps)).withColumn("cell", moved).drop("step")
+
+
 def nearest(objects: DataFrame, centroids: DataFrame, out: str = "nearest", digits: int = 0) -> DataFrame:
     """``objects`` with the city of the nearest centroid; equal distances (rounded to ``digits``) go to the smaller name.
 
     Objects of one cell share candidates: by the triangle inequality, a centroid farther from the
-    cell's middle than the nearest one by over twice the cell's radius can't be nearest to anything
-    in the cell.  There are at most 64 800 cells, so the only product is of cells and centroids;
-    each object then looks through the few candidates of its cell.
+    cell's middle than any other by over twice the cell's radius can't be nearest to anything in the
+    cell.  Cells (64 800 at most) meet centroids by equi-joins on cubic grids through the sphere, each
+    twice as wide as the one before: one centroid of each grid cell tells how far away the nearest one
+    is at most, and the finest grid whose cells are that wide gives the candidates.
     """
-    def row(lat: Column) -> Column:
-        return F.floor(lat / CELL)
-
+    row = lambda c: F.floor(c / CELL)
     cell = objects.filter("lat IS NOT NULL AND lon IS NOT NULL").select(row(F.col("lat")).alias("cy"), row(F.col("lon")).alias("cx")).distinct()
     middle = cell.withColumns({"my": (F.col("cy") + 0.5) * CELL, "mx": (F.col("cx") + 0.5) * CELL})
-    radius = F.lit(EARTH_M * 3.15 / 180 * CELL * 0.7072)  # a cell is nowhere wider than at the equator
-    cities = centroids.select("city", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    pairs = middle.join(cities, F.lit(True)).withColumn("d", haversine(F.col("my"), F.col("mx"), F.col("clat"), F.col("clon")))
-    least = Window.partitionBy("cy", "cx")
-    near = pairs.withColumn("least", F.min("d").over(least)).filter(F.col("d") <= F.col("least") + 2 * radius + 1)
+    laid = _around(_levels(middle.withColumn("u", _unit("my", "mx"))))
+    cities = centroids.filter("lat IS NOT NULL AND lon IS NOT NULL").select("city", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    dealt = _levels(cities.withColumn("u", _unit("clat", "clon"))).drop("u")
+    to_city = haversine(F.col("my"), F.col("mx"), F.col("clat"), F.col("clon"))
+    one = dealt.groupBy("level", "cell").agg(F.min(F.struct("clat", "clon")).alias("c")).select("level", "cell", "c.*")
+    reach = laid.join(one, ["level", "cell"]).groupBy("cy", "cx").agg(F.min(to_city).alias("least"), F.first("my").alias("my"), F.first("mx").alias("mx"), F.first("u").alias("u"))
+    # a cell is nowhere wider than at the equator; a chord is shorter than its arc
+    radius = EARTH_M * 3.15 / 180 * CELL * 0.7072
+    reach = reach.withColumn("reach", F.col("least") + 2 * radius + 1)
+    wide = F.greatest(F.lit(0), F.ceil(F.log2(F.col("reach") / WIDTH_M))).cast("int")
+    search = _around(reach.withColumn("level", wide).withColumn("cell", _cell("level")).drop("u", "least"))
+    near = search.join(dealt, ["level", "cell"]).filter(to_city <= F.col("reach"))
     lists = near.groupBy("cy", "cx").agg(F.collect_list(F.struct("city", "clat", "clon")).alias("cities"))
     joined = objects.join(lists, (row(F.col("lat")) == F.col("cy")) & (row(F.col("lon")) == F.col("cx")), "left")
     best = F.array_min(F.transform("cities", lambda c: F.struct(F.round(haversine(F.col("lat"), F.col("lon"), c["clat"], c["clon"]), digits).alias("d"), c["city"].alias("city"))))

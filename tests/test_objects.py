@@ -94,6 +94,24 @@ def test_nearest_city_is_the_nearest(spark):
         assert abs(g.nearest_m - want[0]) <= 1 and (g.nearest == want[1] or g.nearest_m == want[0])
 
 
+def test_nearest_city_near_poles_and_the_date_line(spark):
+    r = random.Random(2)
+    cities = [("p", 89.9, 10.0), ("q", -89.8, -100.0), ("d", 10.0, 179.99), ("e", 10.0, -179.5), *((f"k{k}", 50 + r.random(), 30 + r.random()) for k in range(40))]
+    points = [(k, r.choice((90.0, 89.5, -89.9, 10.0, 50.5, 0.0)), r.choice((-180.0, 180.0, 179.9, 30.5, -75.0, 0.0))) for k in range(120)]
+    got = infer.nearest(spark.createDataFrame(points, "seq long, lat double, lon double"), spark.createDataFrame(cities, "city string, lat double, lon double")).collect()
+    assert len(got) == 120
+    for g in got:
+        assert abs(g.nearest_m - min(round(geo.haversine_m(g.lat, g.lon, y, x)) for _, y, x in cities)) <= 1
+
+
+def test_nearest_without_candidates_or_coordinates(spark):
+    none = spark.createDataFrame([], "city string, lat double, lon double")
+    rows = spark.createDataFrame([(1, 5.0, 5.0), (2, None, 5.0)], "seq long, lat double, lon double")
+    assert {r.seq: r.nearest for r in infer.nearest(rows, none).collect()} == {1: None, 2: None}
+    one = spark.createDataFrame([("far", -60.0, -170.0)], "city string, lat double, lon double")
+    assert {r.seq: r.nearest for r in infer.nearest(rows, one).collect()} == {1: "far", 2: None}
+
+
 def test_fill_cities(spark):
     rows = objects(spark, obj(1, lat=50.0, city="А"), obj(2, lat=52.0, city="Б"), obj(3, lat=50.1), obj(4, lat=51.0, city=""), obj(5, kind=1, lat=51.9, name="x"))
     assert by_seq(infer.fill_cities(rows), "city") == {1: ("А",), 2: ("Б",), 3: ("А",), 4: ("А",), 5: ("Б",)}
@@ -147,6 +165,17 @@ def test_rounds_equal_greedy(spark):
     assert sorted(x.seq for x in dedup.poi_keepers(once).collect()) == small
 
 
+def test_greedy_equals_a_plain_walk(spark):
+    r = random.Random(9)
+    rows = [(k, 55 + r.random() * 0.02, 37 + r.random() * 0.02) for k in range(1500)] + [(5000 + k, 89.9999, r.uniform(-180, 180)) for k in range(50)]
+    kept = []
+    for k, y, x in rows:
+        if not any(geo.haversine_m(y, x, v, w) < 100 for _, v, w in kept):
+            kept.append((k, y, x))
+    df = objects(spark, *(obj(k, 1, y, x, name="n") for k, y, x in rows))
+    assert sorted(x.seq for x in dedup.poi_keepers(df).collect()) == [k for k, _, _ in kept]
+
+
 def test_distances(spark):
     assert 100 < geo.haversine_m(55.7539, 37.6208, 55.7520, 37.6175) < 1000 and geo.haversine_m(1, 2, 1, 2) == 0
     row = spark.range(1).select(geo.haversine(F.lit(55.7539), F.lit(37.6208), F.lit(55.7520), F.lit(37.6175)).alias("m"), F.levenshtein(F.lit("Москва"), F.lit("Мсква")).alias("l")).first()
