@@ -1,4 +1,4 @@
-"""``python -m placeforge.cli build|query|info|list``."""
+"""``python -m placeforge.cli build|query|info|list|generate``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index, search
+from .operators import datagen, index, search
 from .plans import build as B
 from .sources import files, osmpbf, regions
 
@@ -34,6 +34,11 @@ def parser() -> argparse.ArgumentParser:
     listed = sub.add_parser("list", help="regions of a saved page")
     listed.add_argument("page")
     listed.add_argument("--parent", default="")
+    pairs = sub.add_parser("generate", help="training pairs from a file of street names")
+    pairs.add_argument("names")
+    pairs.add_argument("output")
+    pairs.add_argument("--split", type=float, default=0.9)
+    pairs.add_argument("--seed", type=int, default=42)
     return top
 
 
@@ -80,6 +85,9 @@ def main(args: list[str] | None = None) -> list[str]:
         lines += [f"size: {files.megabytes(os.path.getsize(a.db))}"] if sqlite else []
         r = objects.agg(F.count("*").alias("n"), F.count_if(F.col("type") == 0).alias("a")).first()
         lines.append(f"objects {r.n}, addresses {r.a}, named {r.n - r.a}")
+    elif a.command == "generate":
+        names = spark.read.text(a.names).select(F.trim("value").alias("name")).filter("name <> ''").distinct()
+        lines += [f"{key}: {n}" for key, n in datagen.write_dataset(names, a.output, a.seed, a.split).items()]
     else:
         with open(a.page) as f:
             page = spark.createDataFrame([(f.read(),)], "html string")

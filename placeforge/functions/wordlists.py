@@ -77,6 +77,41 @@ OBLIQUE_PAIRS = {
     "микрорайон": ["микрорайона", "микрорайону", "микрорайоном"],
 }
 
+# Adjectives of training pairs, oblique and nominative, and the nouns they go with, by gender.
+ADJECTIVE_PAIRS = {
+    "f": [
+        ("Московской", "Московская"), ("Тверской", "Тверская"), ("Ленинградской", "Ленинградская"), ("Калининградской", "Калининградская"), ("Казанской", "Казанская"),
+        ("Сибирской", "Сибирская"), ("Российской", "Российская"), ("Большой", "Большая"), ("Красной", "Красная"), ("Весенней", "Весенняя"),
+        ("Зимней", "Зимняя"), ("Летней", "Летняя"), ("Осенней", "Осенняя"), ("Соседней", "Соседняя"), ("Дальней", "Дальняя"),
+    ],
+    "m": [
+        ("Ленинской", "Ленинский"), ("Московской", "Московский"), ("Кутузовской", "Кутузовский"), ("Советской", "Советский"), ("Большой", "Большой"),
+        ("Красной", "Красный"), ("Малой", "Малый"), ("Синей", "Синий"), ("Последней", "Последний"),
+    ],
+    "n": [("Большой", "Большое"), ("Красной", "Красное"), ("Синей", "Синее")],
+}
+PAIR_NOUNS = {
+    "f": ["улица", "площадь", "набережная", "аллея", "дорога", "линия"],
+    "m": ["проспект", "переулок", "бульвар", "проезд", "тупик", "мост"],
+    "n": ["шоссе", "озеро", "поле"],
+}
+AGREED_PAIRS = [
+    ("Калининградской улица", "Калининградская улица"), ("Калининградской зоопарк", "Калининградский зоопарк"), ("Калининградской шоссе", "Калининградское шоссе"),
+    ("Московской проспект", "Московский проспект"), ("Московской площадь", "Московская площадь"), ("Тверской улица", "Тверская улица"), ("Тверской бульвар", "Тверской бульвар"),
+    ("Ленинградской набережная", "Ленинградская набережная"), ("Невской проспект", "Невский проспект"), ("Арбатской переулок", "Арбатский переулок"), ("Садовой кольцо", "Садовое кольцо"),
+    ("Красной ворота", "Красные ворота"), ("Петровской парк", "Петровский парк"), ("Смоленской метро", "Смоленская метро"),
+]
+
+# Street types and places of training pairs that stay as they are.
+PAIR_TYPES = [
+    "улица", "проспект", "переулок", "бульвар", "проезд", "площадь", "набережная", "шоссе", "аллея", "тупик",
+    "линия", "вал", "спуск", "дорога", "тракт", "мост", "канал", "съезд", "микрорайон",
+]
+PAIR_PLACES = [
+    "Москва", "Санкт-Петербург", "Новосибирск", "Екатеринбург", "Казань", "Калининград", "Владивосток", "Сочи", "Нижний Новгород",
+    "Ростов-на-Дону", "Красноярск", "Иркутск", "Большое Исаково", "Малое Исаково", "Старое Крюково", "Красная Поляна", "Зелёный Бор", "Солнечный Город",
+]
+
 # Words that count as a street type at either end of a name.
 STREET_TYPES = ["улица", "проспект", "переулок", "бульвар", "проезд", "площадь", "набережная", "шоссе", "аллея", "тупик", "линия", "вал", "спуск", "подъезд", "дорога", "тракт", "мост", "канал", "съезд"]
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import spell, text
+from ..functions import neural, spell, text
 from ..operators import dedup, extract, index, infer, search, stats
 
 VERSION = "0.2.0"
@@ -47,26 +48,31 @@ def repair(rows: DataFrame, dictionary: DataFrame | None, strict: bool) -> DataF
     return rows
 
 
-def normalize(objects: DataFrame, strict: bool) -> DataFrame:
-    """City and street of addresses and names of points; the city of a point stays."""
+def normalize(objects: DataFrame, strict: bool, model: Callable | None = None) -> DataFrame:
+    """City and street of addresses and names of points, by rules and then by ``model``; the city of a point stays."""
     fix = text.normalize_rule_based if strict else (lambda c: text.normalize_name(c))
     own = lambda c, kind, f: F.when(F.col("type") == kind, f(F.col(c))).otherwise(F.col(c))
     city_fix = text.normalize_rule_based if strict else (lambda c: text.normalize_oblique(c))
-    return objects.withColumns({"city": own("city", 0, city_fix), "street": own("street", 0, fix), "name": own("name", 1, fix)})
+    ruled = objects.withColumns({"city": own("city", 0, city_fix), "street": own("street", 0, fix), "name": own("name", 1, fix)})
+    if model is None:
+        return ruled
+    ruled = save(ruled)
+    return neural.refine(ruled.filter("type = 0"), ["city", "street"], model).unionByName(neural.refine(ruled.filter("type = 1"), ["name"], model))
 
 
-def build(elements: DataFrame, region: str | None = None, dictionary: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def build(elements: DataFrame, region: str | None = None, dictionary: DataFrame | None = None, strict: bool = False, model: Callable | None = None) -> DataFrame:
     """The objects table: id and the columns of extract.OBJECTS.
 
     ``strict`` keeps the original chain with its known slips; else abbreviations are written out
     before grammar, place names aren't taken for abbreviations, and cities aren't averaged with (0, 0).
+    ``model`` loads a trained normaliser (see :func:`neural.refine`).
     """
     # a source is decoded once, however many branches read its elements
     elements = save(elements)
     found = save(extract.objects(elements, lambda rows: repair(rows, dictionary, strict)))
     filled = save(infer.fill_cities(found, skip_origin=not strict))
     merged = infer.merge_typos(filled)
-    named = save(normalize(infer.fill_countries(merged, region), strict))
+    named = save(normalize(infer.fill_countries(merged, region), strict, model))
     once = dedup.objects_once(named)
     return index.numbered(once, ["seq"], "id", 1).select("id", *extract.OBJECTS)
 

@@ -598,6 +598,36 @@ def pairs_suffixed(spark, sf):
     return datagen.suffixed_pairs(part_names(spark, sf))
 
 
+def values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+
+
+ADJECTIVES = f"""adjective AS (SELECT * FROM (VALUES {values([(g, o, n) for g, rows in W.ADJECTIVE_PAIRS.items() for o, n in rows])}) t(gender, oblique, nominative)),
+ noun AS (SELECT * FROM (VALUES {values([(g, n) for g, rows in W.PAIR_NOUNS.items() for n in rows])}) t(gender, noun)),
+ agreed AS (SELECT oblique || ' ' || noun AS input, nominative || ' ' || noun AS output FROM adjective JOIN noun USING (gender) UNION ALL SELECT * FROM (VALUES {values(W.AGREED_PAIRS)}) t(input, output))"""
+UNCHANGED = f"""same AS (SELECT kind || ' ' || name AS input FROM name, (VALUES {values([(t,) for t in W.PAIR_TYPES])}) t(kind) UNION ALL SELECT * FROM (VALUES {values([(p,) for p in W.PAIR_PLACES])}) t(place)),
+ noop AS (SELECT input, input AS output FROM same)"""
+
+
+@query(f"WITH {ADJECTIVES} SELECT input, output FROM agreed")
+def pairs_adjective(spark, sf):
+    return datagen.every_pair(part_names(spark, sf)).filter("kind = 'adjective_agreement'").select("input", "output")
+
+
+@query(f"WITH {NAMES}, {UNCHANGED} SELECT input, output FROM noop")
+def pairs_unchanged(spark, sf):
+    return datagen.every_pair(part_names(spark, sf)).filter("kind = 'noop'").select("input", "output")
+
+
+@query(f"""WITH {NAMES}, {ADJECTIVES}, {UNCHANGED}, every_ AS (SELECT 'abbreviation' AS kind, * FROM ({SQL["pairs_abbreviation"]}) UNION ALL SELECT 'oblique', * FROM ({SQL["pairs_oblique"]})
+ UNION ALL SELECT 'abbreviated_oblique', * FROM ({SQL["pairs_suffixed"]}) UNION ALL SELECT 'adjective_agreement', * FROM agreed UNION ALL SELECT 'noop', * FROM noop)
+ SELECT kind || '_pairs' AS key, count(*) AS n FROM every_ GROUP BY kind UNION ALL SELECT 'total_pairs', count(*) FROM (SELECT DISTINCT input, output FROM every_)""")
+def dataset_stats(spark, sf):
+    """Counts of the whole data set; those of its splits depend on a hash that SQL lacks."""
+    pairs = datagen.every_pair(part_names(spark, sf))
+    return datagen.dataset_stats(pairs, datagen.dataset(pairs)).filter("key NOT IN ('train_pairs', 'val_pairs')")
+
+
 @query("SELECT o_orderpriority AS input, o_orderstatus AS output, min(o_orderkey) AS first FROM orders GROUP BY ALL")
 def pairs_dedup_first(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("input"), F.col("o_orderstatus").alias("output"), "o_orderkey")

@@ -99,3 +99,18 @@ def test_postings_carry_prefixes(spark, objects):
         assert sorted(map(tuple, search.hits(posted, terms).collect())) == sorted(map(tuple, search.hits(posted.drop("p2", "p3", "p4"), terms).collect()))
     plan = search.hits(posted, ["тверс"])._jdf.queryExecution().optimizedPlan().toString()
     assert "твер" in plan
+
+
+def test_generate(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("Ленина\nМира\n\nЛенина\n")
+    out = str(tmp_path / "pairs")
+    found = dict(line.split(": ") for line in cli.main(["generate", str(tmp_path / "names.txt"), out, "--seed", "7"]))
+    found = {k: int(n) for k, n in found.items()}
+    assert (found["abbreviation_pairs"], found["oblique_pairs"], found["adjective_agreement_pairs"], found["noop_pairs"]) == (144, 176, 15 * 6 + 9 * 6 + 3 * 3 + 14, 2 * 19 + 18)
+    train, val = (spark.read.json(f"{out}/{s}.jsonl") for s in ("train", "val"))
+    assert (train.count(), val.count()) == (found["train_pairs"], found["val_pairs"]) and train.count() + val.count() == found["total_pairs"]
+    both = train.unionByName(val)
+    assert both.distinct().count() == found["total_pairs"] < sum(n for k, n in found.items() if k not in ("total_pairs", "train_pairs", "val_pairs"))
+    assert both.filter("input = 'ул. Ленина'").first().output == "улица Ленина" and both.filter("input = 'Синей поле'").first().output == "Синее поле"
+    assert spark.read.csv(f"{out}/val.tsv", sep="\t", header=True).count() == found["val_pairs"]
+    assert spark.read.json(f"{out}/stats.json").first().asDict() == found

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from placeforge.functions import geo
@@ -192,3 +193,19 @@ def test_build(spark):
     words = spark.createDataFrame([("ленина", 5), ("мира", 5)], "term string, freq long")
     strict = build.build(rows, "RU-CFD", words, strict=True)
     assert {r.street for r in strict.filter("type = 0").collect()} == {"Улица Ленина", "улица Ленина", "Проспект Мира"} - {"улица Ленина"}
+
+
+def test_model_step(spark):
+    def load():
+        known = {"улица Ленина": "улица Владимира Ленина", "Форт": "", "Москва": "Москва"}
+        return lambda names: np.array([known.get(n, n) for n in names], dtype=object)
+
+    rows = elements(
+        spark, node(1, {"addr:city": "Москва", "addr:street": "ул. Ленина", "addr:housenumber": "1"}), node(2, {"addr:city": "Москва", "addr:street": "Мира", "addr:housenumber": ""}),
+        node(4, {"name": "Форт", "historic": "x"}), node(5, {"name": "улица Ленина", "historic": "x"}, 57.0),
+    )
+    made = {r.seq: r for r in build.build(rows, "RU-CFD", model=load).collect()}
+    assert made[1].street == "улица Владимира Ленина" and made[1].city == "Москва" and made[2].street == "Мира"
+    assert made[4].name == "Форт" and made[5].name == "улица Владимира Ленина" and made[5].city == "Москва"
+    plain = {r.seq: r for r in build.build(rows, "RU-CFD").collect()}
+    assert plain[1].street == "улица Ленина" and plain[5].name == "улица Ленина"
