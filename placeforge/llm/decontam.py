@@ -170,7 +170,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Matching windows: id, text_key, at, item_id, item_key, i_at, i_windows and the slots of both sides; ``same`` is false if a short item as a whole differs."""
+    """Matching windows: id, text_key, at, item_id, item_key, i_at, i_windows and the slots of both sides; ``same`` isn't true if a short item as a whole differs."""
     facts = items.agg(F.count("*").alias("n"), F.collect_set("form").alias("forms")).first()
     base = blocks(docs).withColumn("t0", number_form(F.col("words")))
     found = lambda at, tokens, form, width=WIDTH: F.transform(at, lambda i: F.struct(i.alias("at"), hashed(tokens, i, form, width).alias("h")))
@@ -186,7 +186,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = base.select("id", "text_key", "begin", "words", *(e.alias(f"e{k}") for k, e in enumerate(every))).select("id", "text_key", "begin", "words", unpacked(*(f"e{k}" for k in range(len(every))), kind="at int, h bigint"))
     value = F.transform(slots(F.col("words"), F.col("at"), F.col("form")), lambda s: s["value"]).alias("d_slots")
     # a filter on this would become a condition of the join, which then copies the words for every window
-    same = F.col("whole").isNull() | (F.transform(F.slice("words", F.col("at") + 1, F.greatest(F.size("whole"), F.lit(0))), plain) == F.col("whole"))
+    # and null is for an item that goes beyond the block, which the next block has whole
+    own = F.slice("words", F.col("at") + 1, F.greatest(F.size("whole"), F.lit(0)))
+    same = F.when(F.col("whole").isNull(), True).when(F.size(own) == F.size("whole"), F.transform(own, plain) == F.col("whole"))
     kept = ["id", "text_key", (F.col("begin") + F.col("at")).alias("at"), "item_id", "item_key", "i_at", "i_windows", "i_slots", value, same.alias("same")]
     if facts["n"] <= MOST_BROADCAST:
         # the words stay in the row that is being looked up; slots are cut out of matches alone

@@ -187,3 +187,11 @@ def test_long_documents_go_in_blocks(spark, monkeypatch):
         assert len(parts) > 1 and all(len(p.words) < size + D.WIDTH for p in parts)
     monkeypatch.setattr(D.blocks, "__defaults__", (50,))
     assert D.judge(documents(spark, [text]), items(spark)).collect() == want
+
+
+def test_short_items_at_the_edge_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(D.blocks, "__defaults__", (50,))
+    short = "seven tall cows ate one blue hat"
+    texts = [" ".join([words(1, at), short, words(2, 70)]) for at in range(40, 60)] + [f"{words(1, 51)} {short[:-4]}"]
+    found = D.judge(documents(spark, texts), spark.createDataFrame([(1, short)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.contaminated} == set(range(20))
