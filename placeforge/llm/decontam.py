@@ -238,5 +238,39 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, (solid_id(docs["doc_id"]) == bad["contaminated_id"]) & (text_key(docs["text"]) == bad["contaminated_key"]), "left_anti")
 
 
+#: The verdicts of :func:`judge` over ``documents`` and ``benchmark``, by rows of tokens; a text of words joined by spaces stands for a window's hash.
+SQL = rf"""WITH doc AS (SELECT row_number() OVER () AS n, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ item AS (SELECT row_number() OVER () AS n, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ list_ AS (SELECT 'd' AS side, n, regexp_extract_all(text, '{TOKEN}') AS ws FROM doc UNION ALL SELECT 'i', n, regexp_extract_all(text, '{TOKEN}') FROM item),
+ word AS (SELECT side, n, unnest(range(len(ws))) AS p, unnest(ws) AS w, len(ws) AS size FROM list_),
+ low AS (SELECT *, lower(w) AS l, lag(lower(w)) OVER (PARTITION BY side, n ORDER BY p) AS before FROM word),
+ token AS (SELECT side, n, p, size, l, CASE WHEN substr(w, 1, 1) <> substr(l, 1, 1) AND substr(w, 2, 1) <> '' AND substr(w, 2, 1) = substr(l, 2, 1) THEN '#q' WHEN l >= '0' AND l < ':' THEN '#n'
+  WHEN l IN ({", ".join(f"'{u}'" for u in UNITS)}) AND before >= '0' AND before < ':' THEN '#u' ELSE '' END AS mark FROM low),
+ view_ AS (SELECT side, n, p, size, string_agg(CASE WHEN mark IN ('#n', '#u') THEN mark ELSE l END, ' ') OVER w8 AS g0, string_agg(CASE WHEN mark <> '' THEN mark ELSE l END, ' ') OVER w8 AS g1, string_agg(l, ' ') OVER w8 AS g2,
+  string_agg(CASE WHEN mark IN ('#n', '#u') THEN mark ELSE l END, ' ') OVER w4 AS s4, count(*) FILTER (mark NOT IN ('#n', '#u')) OVER w8 AS words, count(*) FILTER (mark = '') OVER w8 AS bare
+  FROM token WINDOW w8 AS (PARTITION BY side, n ORDER BY p ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING), w4 AS (PARTITION BY side, n ORDER BY p ROWS BETWEEN CURRENT ROW AND {SHORT - 1} FOLLOWING)),
+ full_ AS (SELECT * FROM view_ WHERE p + {WIDTH} <= size),
+ asked AS (SELECT n AS m, p AS i_at, size, CASE WHEN words >= {LEAST_WORDS} THEN 0 ELSE 2 END AS form, CASE WHEN words >= {LEAST_WORDS} THEN g0 ELSE g2 END AS g FROM full_ WHERE side = 'i'
+  UNION ALL SELECT n, p, size, 1, g1 FROM full_ WHERE side = 'i' AND bare >= {LEAST_WORDS} AND words > bare UNION ALL SELECT n, p, size, 3, s4 FROM view_ WHERE side = 'i' AND p = 0 AND size BETWEEN {SHORT} AND {WIDTH - 1}),
+ given AS (SELECT n AS d, p, 0 AS form, g0 AS g FROM full_ WHERE side = 'd' UNION ALL SELECT n, p, 1, g1 FROM full_ WHERE side = 'd' AND words > bare UNION ALL SELECT n, p, 2, g2 FROM full_ WHERE side = 'd' AND words < {LEAST_WORDS}
+  UNION ALL SELECT n, p, 3, s4 FROM view_ WHERE side = 'd' AND p + {SHORT} <= size),
+ met AS (SELECT d, m, p - i_at AS off, i_at, form, size FROM given JOIN asked USING (form, g)),
+ whole AS (SELECT d, m, off FROM met JOIN token i ON i.side = 'i' AND i.n = m JOIN token t ON t.side = 'd' AND t.n = d AND t.p = off + i.p AND t.l = i.l WHERE form = 3 GROUP BY d, m, off, met.size HAVING count(*) = met.size),
+ hit AS (SELECT * FROM met WHERE form <> 3 UNION ALL SELECT met.* FROM met JOIN whole USING (d, m, off) WHERE form = 3),
+ pair AS (SELECT d, m, off, i_at, form, i.p AS place, i.mark || i.l AS iv, t.mark || t.l AS dv FROM hit JOIN token i ON i.side = 'i' AND i.n = m AND i.p BETWEEN i_at AND i_at + {WIDTH - 1}
+  JOIN token t ON t.side = 'd' AND t.n = d AND t.p = off + i.p WHERE (form = 0 AND i.mark IN ('#n', '#u')) OR (form = 1 AND i.mark <> '')),
+ vote AS (SELECT *, count(*) OVER (PARTITION BY d, m, off, iv) AS alike, count(*) OVER (PARTITION BY d, m, off, iv, dv) AS same FROM (SELECT DISTINCT d, m, off, place, iv, dv FROM pair)),
+ rated AS (SELECT *, 2 * same > alike AS most, bool_and(iv = dv OR same <> alike) OVER (PARTITION BY d, m, off) AS verbatim, bool_or(2 * same > alike) OVER (PARTITION BY d, m, off, iv) AS settled FROM vote),
+ chosen AS (SELECT DISTINCT d, m, off, iv, dv, most OR (verbatim AND iv = dv AND NOT settled) AS chosen FROM rated),
+ unsound AS (SELECT DISTINCT d, m, off FROM chosen GROUP BY d, m, off, iv HAVING NOT bool_or(chosen)),
+ kept AS (SELECT d, m, off, i_at, form, bool_or(iv <> dv) AS changed FROM pair JOIN chosen USING (d, m, off, iv, dv) GROUP BY d, m, off, i_at, form HAVING bool_and(chosen)
+  UNION ALL SELECT d, m, off, i_at, form, FALSE FROM hit WHERE NOT EXISTS (SELECT 1 FROM pair WHERE pair.d = hit.d AND pair.m = hit.m AND pair.off = hit.off AND pair.i_at = hit.i_at AND pair.form = hit.form)),
+ sound AS (SELECT * FROM kept ANTI JOIN unsound USING (d, m, off)),
+ found AS (SELECT d, m, count(DISTINCT i_at)::DOUBLE / max(greatest(s.size - {WIDTH - 1}, 1)) AS coverage, bool_or(changed) AS changed FROM sound JOIN (SELECT DISTINCT m, size FROM asked) s USING (m) GROUP BY d, m),
+ judged AS (SELECT d, count(*) AS n_items, min(item_id) AS item_id, max(coverage) AS coverage, bool_or(changed) AS changed FROM found JOIN item ON m = item.n WHERE coverage >= {COVER} GROUP BY d)
+ SELECT a.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, j.item_id, round(coalesce(coverage, 0), 6) AS coverage, coalesce(changed, FALSE) AS reparameterised
+ FROM documents a JOIN doc ON doc.doc_id IS NOT DISTINCT FROM a.doc_id AND doc.text IS NOT DISTINCT FROM a.text LEFT JOIN judged j ON doc.n = j.d"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

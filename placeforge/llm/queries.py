@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.SQL, "op4_source_mixing": mixing.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op4_source_mixing": mixing.SQL, "op9_decontamination": decontam.SQL}

@@ -195,3 +195,32 @@ def test_short_items_at_the_edge_of_a_block(spark, monkeypatch):
     texts = [" ".join([words(1, at), short, words(2, 70)]) for at in range(40, 60)] + [f"{words(1, 51)} {short[:-4]}"]
     found = D.judge(documents(spark, texts), spark.createDataFrame([(1, short)], "item_id long, text string")).collect()
     assert {r.doc_id for r in found if r.contaminated} == set(range(20))
+
+
+def by_sql(docs, benchmark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", benchmark.select("item_id", "text").toPandas().astype({"item_id": "Int64"}))
+    return sorted(con.execute(D.SQL).fetchall(), key=repr)
+
+
+def test_sql_gives_the_same(spark):
+    import random
+
+    r = random.Random(4)
+    short = [(7, "Is it 7 or 9"), (8, "3 1 4 1 5 9 2 6 5 3 5 8"), (9, "5 km 7 kg 9 mm 4 l 3 h the end"), (10, "Yes"), (10, words(72, 20))]
+    own = spark.createDataFrame(ITEMS + short + ITEMS[:1], "item_id long, text string")
+    texts = []
+    for k in range(90):
+        q = r.choice([t for _, t in ITEMS + short if t]).split()
+        if k % 3:
+            q = [r.choice(["3", "9", "120", w]) if w.isdigit() else r.choice(["Paris", "Rome", w]) if w[0].isupper() else w for w in q]
+        a, b = sorted((r.randrange(len(q) + 1), r.randrange(len(q) + 1)))
+        texts.append(" ".join([words(k, 12), *q[a:b], words(100 + k, 12), *(q if k % 2 else q[: len(q) // 2])]))
+    for docs in (documents(spark, texts), helpers.hard(spark), empty(spark)):
+        for asked in (own, spark.createDataFrame([(1, words(7, 45)), (2, words(4, 40))], "item_id long, text string"), own.filter("false")):
+            got = sorted((tuple(x) for x in D.judge(docs, asked).collect()), key=repr)
+            assert got == by_sql(docs, asked)
+    assert sum(x[1] for x in by_sql(documents(spark, texts), own)) > 20
